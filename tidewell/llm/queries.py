@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import linededup, mixing, secrets, sharding
+from tidewell.llm import licenses, linededup, mixing, ngramjoin, secrets, sharding
 from tidewell.llm.workdir import new_path
 
 
@@ -22,6 +22,10 @@ def op3_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = mixing.take(docs, mixing.n_words())
@@ -40,13 +44,17 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.render(base), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs).select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_stratified_interleave, op6_mix_sources, op7_secret_ledger, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op10_line_dedup)}
 
 
 OP3_SQL = """
