@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import licenses, linededup, mixing, ngramjoin, secrets, sharding
+from tidewell.llm import fingerprints, licenses, linededup, mixing, ngramjoin, secrets, sharding
 from tidewell.llm.workdir import new_path
 
 
@@ -48,13 +48,17 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs).select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
 
 
 OP3_SQL = """
