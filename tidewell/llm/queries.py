@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, licenses, linededup, mixing, ngramjoin, secrets, sharding
+from tidewell.llm import fingerprints, licenses, linededup, mixing, ngramjoin, packing, secrets, sharding
 from tidewell.llm.workdir import new_path
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -58,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_cutting_stock, op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
 
 
 OP3_SQL = """
