@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, licenses, linededup, mixing, ngramjoin, packing, secrets, sharding
+from tidewell.llm import ann, fingerprints, licenses, linededup, mixing, ngramjoin, packing, secrets, sharding
 from tidewell.llm.workdir import new_path
 
 
@@ -28,6 +28,10 @@ def op3_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cutting_stock, op3_stratified_interleave, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_cutting_stock, op3_stratified_interleave, op4_collision_counting, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
 
 
 OP3_SQL = """
