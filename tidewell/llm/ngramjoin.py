@@ -190,7 +190,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the row's set (equal for equal sets, 0 for the empty one).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     bits = min(26, max(16, slim.count().bit_length() + 4))
     stats = materialise(set_stats(slim, bits), "set-stats")
     cells = np.zeros(1 << bits, bool)
@@ -231,7 +230,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = materialise(verify(rest, sets_of(rest)), "links-rest")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    del spark
     placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.where("node <> 0").groupBy("root").agg(F.min("id").alias("component"))
     return placed.join(first, "root", "left").select(
@@ -242,10 +240,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Documents with the empty set all stay. Of rows repeated with that id one
-    stays; rows with a null id stay if their component has no other id.
+    Documents with the empty set all stay, and so do rows with a null id, which
+    are not compared. Of rows that repeat an id and its text one stays.
     """
-    found = link_components(docs, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col), F.lit(_LAST)).alias("__keep"), (F.col("n_shingles") > 0).alias("__one")).groupBy("__keep").agg(F.max("__one").alias("__one"))
-    kept = docs.withColumn("__keep", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).join(keep, "__keep", "left_semi")
-    return kept.drop("__keep")
+    known = docs.where(F.col(id_col).isNotNull())
+    found = link_components(known, id_col, text_col)
+    keep = found.where((F.col(id_col) == F.col("component_id")) | (F.col("n_shingles") == 0)).groupBy(F.col(id_col).cast("long").alias("__keep")).agg(F.max(F.col("n_shingles") > 0).alias("__one"))
+    # The window reuses the join's partitioning.
+    again = F.row_number().over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col)))
+    repeat = F.lag(F.xxhash64(text_col)).over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col))).eqNullSafe(F.xxhash64(text_col))
+    kept = (
+        known.withColumn("__keep", F.col(id_col).cast("long")).join(keep, "__keep")
+        .withColumn("__again", F.col("__one") & repeat & (again > 1)).where("not __again").select(*docs.columns)
+    )
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,6 +1,73 @@
-STAGES = []
+"""The corpus pipeline: what of ``documents`` is kept, in what shape, and packed.
+
+Every stage takes all rows its predecessor kept, as Parquet written and read
+again. All but the last return the columns of their input; the last returns the
+packed pieces.
+
+Rows that repeat after mixing are packed each, so a document taken twice has
+its pieces twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import linededup, mixing, ngramjoin, packing, quality
+from tidewell.llm.workdir import materialise, purge
+
+#: The classifier and the packing plan aren't SQL; the tests run the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    purge(spark)  # the stages before are written out, so what they kept in the shared folder can go
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model).where("quality.predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document has; ``n_chars`` follows the text."""
+    purge(spark)
+    deduped = linededup.dedup(docs)
+    text = F.when(F.col("deduped.n_dropped") > 0, F.col("deduped.text")).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("deduped.n_dropped") > 0, F.length("deduped.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return deduped.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    purge(spark)
+    return ngramjoin.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their source's target weight."""
+    purge(spark)
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048."""
+    import public_tokenizers
+
+    purge(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

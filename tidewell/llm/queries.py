@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import ann, fingerprints, licenses, linededup, mixing, ngramjoin, packing, secrets, sharding
+from tidewell.llm import ann, fingerprints, licenses, linededup, mixing, ngramjoin, packing, quality, secrets, sharding
 from tidewell.llm.workdir import new_path
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", quality.held_out().alias("held_out"), "quality.score", "quality.predicted")
+
+
 def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cutting_stock, op3_stratified_interleave, op4_collision_counting, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_cutting_stock, op3_stratified_interleave, op4_collision_counting, op5_license_diagonals, op6_mix_sources, op7_secret_ledger, op8_ngram_jaccard, op9_bottom_k, op10_line_dedup)}
 
 
 OP3_SQL = """

@@ -29,22 +29,23 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, unique to this call."""
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, unique to this call. ``keep``: ``purge`` leaves it."""
     path = f"{shared_root(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if not keep:
+        _WRITTEN.append(path)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps restart from there."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete what this process has written so far. Only for results that are no longer needed."""
+    """Delete what this process has written so far and isn't to be kept. Only for results that are no longer needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
