@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import tpch
+from tidewell.plans import tpch, visits
 
-SUITES = (tpch,)
+SUITES = (tpch, visits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
