@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import storage, tpch, visits
+from tidewell.plans import spatial, storage, tpch, visits
 
-SUITES = (tpch, visits, storage)
+SUITES = (tpch, visits, spatial, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
