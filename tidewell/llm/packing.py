@@ -13,8 +13,11 @@ Ranks need no window over a class (one may hold a third of all pieces): each
 class is dealt into salts, ranked inside, and the sizes of the salts before are
 added.
 
-Tokens: a text is split at spaces, tabs and line ends, where this tokenizer
-never joins, and each such word's ids are kept in a bounded cache per worker.
+Tokens: this tokenizer drops white space, never joins across it and lower-cases,
+so a text's ids are its words' ids in order. Words are split as bytes, A-Z
+lower-cased, and their ids kept in a bounded cache per worker; a word that ends in
+punctuation after a letter is two words, as the tokenizer itself splits there. Texts with the opening of a special
+token, which is matched before lower-casing, keep their case.
 
 Defined cases: null or empty text is the end token alone; null ids are kept;
 repeated rows are packed each; an empty table gives no rows; other columns are
@@ -23,7 +26,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.workdir import materialise
 
 UNIT = 8
-PER_SALT = 50_000
-CACHE_WORDS = 400_000
+PER_SALT, MOST_SALTS = 1_000, 4096
+CACHE_WORDS = 1_000_000
+_TAIL = b".,!?;:#$%&*"
 
 
 class _Words(dict):
@@ -49,14 +52,21 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(_TAIL)
+        if stem and len(stem) < len(word) and b"<|" not in word and stem.decode()[-1].isalpha():
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def ids_of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
 
 def _words_of(path: str) -> _Words:
     """The cache of this worker process, which lives on between tasks."""
@@ -70,13 +80,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     """Rows (doc_id, start, length, ids_crc32, doc_tokens): full sequences first, then the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, gap = _words_of(tokenizer), re.compile("[ \t\r\n]")
+        words = _words_of(tokenizer)
         last, size = np.array([end], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for i in range(0, len(whole), 500):
                 batch, rows = whole.slice(i, 500), []
-                for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = b"".join(map(words.__getitem__, gap.split(text or ""))) + last
+                for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                    ids = words.ids_of(text or b"") + last
                     rows += [(doc, at // 4, min(size, len(ids) - at) // 4, zlib.crc32(ids[at : at + size]), len(ids) // 4) for at in range(0, len(ids), size)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -176,7 +186,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     n = pieces.count()
     if not n:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    salted = pieces.withColumn("class", size).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n // PER_SALT + 1)).cast("int"))
+    salted = pieces.withColumn("class", size).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(min(n // PER_SALT + 1, MOST_SALTS))).cast("int"))
     counts = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
     by_class = Window.partitionBy("class")
     before = counts.select("class", "salt", (F.sum("n").over(by_class.orderBy("salt")) - F.col("n")).alias("before"))
