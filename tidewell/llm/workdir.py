@@ -8,6 +8,7 @@ that setting is absent (tests, notebooks) a local folder takes its place.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _WRITTEN: list[str] = []
+_KEPT: list[str] = []
+_JVM: list = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,8 +35,10 @@ def shared_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path in the shared folder, unique to this call. ``keep``: ``purge`` leaves it."""
     path = f"{shared_root(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _WRITTEN.append(path)
+    (_KEPT if keep else _WRITTEN).append(path)
+    if not _JVM:
+        _JVM.extend((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
+        atexit.register(_at_exit)
     return path
 
 
@@ -44,9 +49,18 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(jvm, conf, paths: list[str]) -> None:
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    """Leave nothing in the shared folder; the JVM may be gone by now."""
+    with contextlib.suppress(Exception):
+        _delete(*_JVM, _WRITTEN + _KEPT)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete what this process has written so far and isn't to be kept. Only for results that are no longer needed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _WRITTEN)
