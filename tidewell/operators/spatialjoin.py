@@ -45,12 +45,12 @@ def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reac
 def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None = None) -> DataFrame:
     """Rows (a, b, shape_a, shape_b) of intersecting polygons with key a < b."""
     size = size or cell_size(polygons, shape)
-    b = G.bounds(F.col(shape))
-    listed = polygons.select(F.col(key).alias("k"), F.col(shape).alias("s"), b.alias("b"), F.explode(cells_of(b, size)).alias("c"))
-    x, y = (listed.select("c", *(F.col(n).alias(f"{n}_{side}") for n in ("k", "s", "b"))) for side in "ab")
+    named = polygons.select(F.col(key).alias("__k"), F.col(shape).alias("__s"))
+    listed = named.select("*", G.bounds(F.col("__s")).alias("__b")).select("*", F.explode(cells_of(F.col("__b"), size)).alias("c"))
+    x, y = (listed.select("c", *(F.col(f"__{n}").alias(f"{n}_{side}") for n in "ksb")) for side in "ab")
     both = x.join(y, "c").where("k_a < k_b and b_a.x0 <= b_b.x1 and b_b.x0 <= b_a.x1 and b_a.y0 <= b_b.y1 and b_b.y0 <= b_a.y1")
     # Of the cells that both meet, only the one with the low corner of the common bounds counts.
-    once = both.where((F.col("c.cx") == _cell(F.greatest("b_a.x0", "b_b.x0"), size)) & (F.col("c.cy") == _cell(F.greatest("b_a.y0", "b_b.y0"), size)))
+    once = both.where((F.col("c.cx") == _cell(F.greatest(F.col("b_a.x0"), F.col("b_b.x0")), size)) & (F.col("c.cy") == _cell(F.greatest(F.col("b_a.y0"), F.col("b_b.y0")), size)))
     return once.where(G.polygons_intersect(F.col("s_a"), F.col("s_b"))).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), F.col("s_a").alias("shape_a"), F.col("s_b").alias("shape_b"))
 
 
@@ -61,16 +61,17 @@ def nearest_polygons(points: DataFrame, key: str, at: str, polygons: DataFrame,
     when its k-th distance is at most one cell, as nothing nearer can lie
     outside of them. What is left goes on; the last round's cell spans everything.
     """
-    size = size or cell_size(polygons, shape)
     b = G.bounds(F.col(shape))
     low_high = lambda c: (F.min(c), F.max(c))
     px, py = F.col(at)["x"], F.col(at)["y"]
     p = points.agg(*low_high(px), *low_high(py)).first()
-    q = polygons.agg(F.min(b["x0"]), F.max(b["x1"]), F.min(b["y0"]), F.max(b["y1"])).first()
+    *q, n = polygons.agg(F.min(b["x0"]), F.max(b["x1"]), F.min(b["y0"]), F.max(b["y1"]), F.count("*")).first()
     empty = points.select(key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     if None in (*p, *q):
         return empty
     span = max(max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2]))
+    # Cells that hold about k polygons at even density, so that most points end in the first rounds.
+    size = size or max(cell_size(polygons, shape), ((q[1] - q[0]) * (q[3] - q[2]) * k / n) ** 0.5)
     left, done = points.select(key, at), []
     # Numbered before they are listed by cell, so that a polygon met in two cells is one.
     numbered = polygons.select(F.col(shape).alias("__s")).withColumn("__id", F.monotonically_increasing_id())
