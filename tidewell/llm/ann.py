@@ -9,7 +9,7 @@ inner product, and windows widen until enough candidates are found or all
 vectors of the block are in.
 
 Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2) with M
-the largest norm (0 for queries), so the nearest have the largest product.
+the largest norm (0 for queries, which are scaled to M), so the nearest have the largest product.
 
 Blocks: vectors are dealt by hash of their id into blocks of about
 ``BLOCK`` rows, queries into blocks of ``QUERY_BLOCK``; each pair of blocks is
@@ -38,7 +38,7 @@ class SortedProjections:
 
     def __init__(self, vectors: np.ndarray, largest: float, seed: int = 0, projections: int = PROJECTIONS):
         n, dim = vectors.shape
-        self.vectors, self.m = vectors, projections
+        self.vectors, self.m, self.largest = vectors, projections, largest
         self.a = np.random.default_rng(seed).standard_normal((dim + 1, projections))
         norms = np.einsum("ij,ij->i", vectors, vectors)
         height = np.sqrt(np.maximum(largest * largest - norms, 0))
@@ -54,7 +54,8 @@ class SortedProjections:
         n, least = len(self.vectors), int(np.ceil(THRESHOLD * self.m))
         if n <= wanted:
             return np.arange(n)
-        centre = query @ self.a[:-1]
+        # The order of inner products doesn't depend on the query's length; at the largest norm distances differ most.
+        centre = (query * (self.largest / np.sqrt(query @ query))) @ self.a[:-1]
         counts = np.zeros(n, np.int64)
         left = right = (self.sorted < centre[:, None]).sum(axis=1) if n < 64 else np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre)])
         width = self.first_width

@@ -68,14 +68,14 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, groups: int = 64, id_col: str
 def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with struct ``deduped``: text (kept lines joined by a newline), n_lines, n_dropped."""
     lines = lines_of(F.col(text_col))
-    dropped = F.aggregate(F.col("keep"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(F.bitwise_not(w["bits"])))
+    dropped = F.aggregate(F.col("ld_keep"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(F.bitwise_not(w["bits"])))
     # Dense words up to the last one that drops a line, so each line finds its bit by index.
-    dense = F.expr("aggregate(keep, cast(array() as array<bigint>), (a, w) -> concat(a, array_repeat(-1L, w.word - size(a)), array(w.bits)))")
-    text = F.when(F.col("keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
+    dense = F.expr("aggregate(ld_keep, cast(array() as array<bigint>), (a, w) -> concat(a, array_repeat(-1L, w.word - size(a)), array(w.bits)))")
+    text = F.when(F.col("ld_keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
         F.array_join(F.expr(f"filter(split(coalesce({text_col}, ''), '\\n', -1), (x, i) -> coalesce(getbit(get(ld_bits, i div 64), i % 64), 1) = 1)"), "\n"))
     return (
-        docs.select("*", *_identified(docs, id_col, text_col)).join(bitmaps, ["ld_id", "ld_text"], "left")
-        .withColumn("ld_bits", F.when(F.col("keep").isNotNull(), dense))
+        docs.select("*", *_identified(docs, id_col, text_col)).join(bitmaps.withColumnRenamed("keep", "ld_keep"), ["ld_id", "ld_text"], "left")
+        .withColumn("ld_bits", F.when(F.col("ld_keep").isNotNull(), dense))
         .withColumn("deduped", F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")))
         .select(*docs.columns, "deduped")
     )
