@@ -180,3 +180,13 @@ def test_reads_prune_folders(store):
     meta = store.put("b", "k", OLD)
     plan = store.read_pieces(meta, 0, 10)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan and "GreaterThanOrEqual(no,0)" in plan
+
+
+def test_read_load(store):
+    from tidewell.plans import storebench as B
+
+    assert B.seed(store, "load", 90_000, 40_000) == 3
+    out = B.matrix(store, "load", [4096], [1, 2], 4)
+    assert [(r["concurrency"], r["requests"]) for r in out] == [(1, 4), (2, 4)] and all(r["req_s"] > 0 and r["p50_ms"] <= r["p99_ms"] for r in out)
+    assert all(o % B.ALIGN == 0 and o + 4096 <= 40_000 for o in B.offsets(1, 50, 40_000, 4096))
+    assert B.percentile([], 0.5) == 0.0 and B.percentile([3, 1, 2], 0.5) == 2

@@ -29,6 +29,8 @@ def test_queries_over_the_corpus(spark):
     assert (total(half), total(closed)) == (10, 11)
     top = S.top(df, S.parse("severity_text:INFO"), [F.desc("timestamp_nanos")], 5).collect()
     assert [r.timestamp_nanos for r in top] == sorted((d["timestamp_nanos"] for d in docs if d["severity_text"] == "INFO"), reverse=True)[:5]
+    timed = S.run(df, {"all": S.parse("*")}, "timestamp_nanos", S.windows(2, S.EPOCH, 300))
+    assert [r["num_hits"] for r in timed] == [30, 30]
     for a, b in S.windows(50, 1000, 500):
         assert b - a == 50 and 1000 <= a and b <= 1500
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -139,6 +140,17 @@ def windows(n: int, low: int, span: int, fraction: float = 0.1, seed: int = 42)
     return [(low + s, low + s + width) for s in starts]
 
 
+def run(df: DataFrame, queries: dict[str, Query], path: str, spans: list[tuple[int, int]]) -> list[dict]:
+    """Each query over each time window: hits and milliseconds, timed from the driver."""
+    out = []
+    for name, q in queries.items():
+        for start, end in spans:
+            began = time.perf_counter()
+            n = total(df, And(q, TimeWindow(path, start, end))).first().num_hits
+            out.append({"query": name, "start": start, "end": end, "num_hits": n, "ms": 1e3 * (time.perf_counter() - began)})
+    return out
+
+
 # The log corpus.
 SERVICES = ("checkout", "cart", "search", "auth", "payments")
 SEVERITIES = ("ERROR", "WARN", "INFO", "DEBUG")
