@@ -6,8 +6,10 @@ each misses at most a quarter of its own tokens. The join finds the components
 of the link graph exactly:
 
 1. ``set_stats``: per document its set size and the set's hash; equal sets
-   become one node. The same pass counts tokens in a fixed table of cells;
-   cells whose count is high hold *frequent* tokens. Which tokens are frequent
+   become one node. ``frequent_cells``: tokens that many nodes would index are
+   marked *frequent* in a bit table of fixed size, over all documents. Marking
+   moves a token behind the rare ones, which lets others into the prefixes, so the
+   count is repeated for those until few are new. Which tokens are marked
    steers cost alone, as any fixed total order of tokens keeps the join exact.
 2. ``signatures``: tokens are ordered rare first, then by hash. A node indexes
    single rare tokens. Where they don't suffice, the prefix is extended into the
@@ -18,14 +20,22 @@ of the link graph exactly:
    prefix holds every token up to there, both index it. The number of groups
    goes by the power of two below the smaller set's size; a set also indexes
    under the next smaller power if a partner may be that small.
-3. Each signature's nodes are compared with its smallest node only (a star),
-   by exact intersection; links are contracted to components.
+3. Each signature's nodes are paired with one of them only (a star), by exact
+   intersection for the two partners that share most signatures; links are
+   contracted to components. While signatures hold many nodes of different components,
+   further turns do the same with other centres.
 4. Nodes of one signature that are still in different components are compared
-   pair by pair, after a filter by size, so nothing is lost; that is where
-   frequent tokens would hurt and their combinations help.
+   with each other, so nothing is lost; that is where frequent tokens would hurt
+   and their combinations help. Against a component of many nodes a node is a candidate
+   once, and is compared with its members in blocks, from which only links come
+   out. Pairs of the other nodes are listed. Two filters
+   that cannot lose a link go before the verification: by size, and by the number c
+   of signatures that a pair shares. A prefix is built so that its tokens are need +
+   (groups in it); of each group with s shared tokens s <= 1 + s (s - 1) / 2, so at most c + groups
+   tokens are shared in the prefix that ends first, and c + n - need in all.
 
 No text or set goes to the driver; the driver sees counts, and the table of
-frequent cells, of fixed size. A group of near copies costs edges in proportion
+frequent cells, of fixed size (2 MB). A group of near copies costs edges in proportion
 to its size, since step 4 meets one component.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased. Fewer words
@@ -50,8 +60,18 @@ from tidewell.llm.textkit import SPACED, WordHasher, distinct, mix64, shingles,
 from tidewell.llm.workdir import materialise
 
 _LAST = (1 << 63) - 1
-#: A token is frequent from about this many documents on, counted where a partition has LOCAL or more.
-FREQUENT, LOCAL = 64, 8
+#: A token is frequent if more nodes than this would index it; bits of the table's cells; rounds of the count at most.
+FREQUENT, CELL_BITS, ROUNDS = 1, 24, 4
+_RUN = 32768  # bits in one of Spark's bitmaps
+#: Turns of stars at most, and the pairs a row left at which they end; a star's pairs are verified in the first turn if
+#: they share at least 1 / STAR as many signatures as the set has tokens.
+TURNS, LOAD, STAR = 2, 3, 12
+#: A component with so many nodes is compared in blocks, of at most BLOCK sets on either side.
+HUB, BLOCK = 32, 1024
+#: Up to so many ids are sent to all tasks; more are joined.
+SENT_IDS = 200_000
+#: Up to so many edges, components are found in one task.
+ONE_TASK = 200_000
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,22 +87,35 @@ def _node(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
-def set_stats(docs: DataFrame, cell_bits: int) -> DataFrame:
-    """Rows (kind 0, id, n tokens, node) per document and (kind 1, cell, count, 0) per task and full cell."""
+def set_stats(docs: DataFrame) -> DataFrame:
+    """Rows (id, n tokens, node), one per row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, cells = WordHasher(SPACED), np.zeros(1 << cell_bits, np.uint32)
-        out = lambda kind, i, n, node: pa.record_batch({"kind": pa.array(np.full(len(n), kind, np.int32)), "id": i, "n": pa.array(n.astype(np.int64)), "node": pa.array(node)})
+        hasher = WordHasher(SPACED)
         for batch in batches:
             for a, b, tokens, at in _sets(batch, hasher):
-                np.add.at(cells, (tokens >> np.uint64(64 - cell_bits)).astype(np.int64), 1)
-                yield out(0, batch.column("id").slice(a, b - a), np.diff(at), _node(tokens, at))
-        full = np.flatnonzero(cells >= LOCAL)
-        for i in range(0, len(full), 1 << 16):
-            part = full[i : i + (1 << 16)]
-            yield out(1, pa.array(part), cells[part], np.zeros(len(part), np.int64))
+                yield pa.record_batch({"id": batch.column("id").slice(a, b - a), "n": pa.array(np.diff(at).astype(np.int64)), "node": pa.array(_node(tokens, at))})
+
+    return docs.mapInArrow(run, "id long, n long, node long")
+
+
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _marked(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens lie in marked cells of a packed bit table."""
+    cells = _cells(tokens)
+    return (table[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, node long")
+
+def _prefix(at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the single tokens that each set indexes (its first rare ones), and how many rare ones each has."""
+    rare = np.concatenate(([0], np.cumsum(~frequent)))
+    own = np.diff(rare[at])
+    before = np.repeat(rare[at[:-1]], np.diff(at))
+    need = np.repeat(np.diff(at) // 4 + 1, np.diff(at))
+    return ~frequent & (rare[:-1] - before < need), own
 
 
 def _pairs(tokens: np.ndarray, need: int, bracket: int) -> np.ndarray:
@@ -103,37 +136,75 @@ def _pairs(tokens: np.ndarray, need: int, bracket: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures_of(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """All signatures of one set: ``tokens`` ascending and distinct, ``frequent`` their marks."""
-    need = len(tokens) // 4 + 1
-    rare = tokens[~frequent]
-    parts = [mix64(rare[:need] + np.uint64(1))]
-    if len(rare) < need:
-        n = len(tokens)
-        for bracket in {((3 * n + 3) // 4).bit_length() - 1, n.bit_length() - 1}:
-            parts.append(_pairs(tokens[frequent], need - len(rare), bracket))
-    return np.concatenate(parts)
+def pair_signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of pairs of frequent tokens of a set whose rare ones don't suffice."""
+    n, rare = len(tokens), int((~frequent).sum())
+    brackets = {((3 * n + 3) // 4).bit_length() - 1, n.bit_length() - 1}
+    return np.concatenate([_pairs(tokens[frequent], n // 4 + 1 - rare, b) for b in brackets])
+
+
+def _fresh(nodes: np.ndarray, seen: set) -> np.ndarray:
+    """Marks of the nodes that this task meets for the first time; never the empty set."""
+    out = np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes.tolist()):
+        if node and node not in seen:
+            seen.add(node)
+            out[i] = True
+    return out
 
 
-def signatures(docs: DataFrame, frequent_cells: np.ndarray, cell_bits: int) -> DataFrame:
+def single_tokens(docs: DataFrame, table: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
+    """Rows (sig) of the single tokens that sets index; with ``before`` only those that they did not index under that table."""
+    sent = docs.sparkSession.sparkContext.broadcast((table, before))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, (new, old) = WordHasher(SPACED), set(), sent.value
+        for batch in batches:
+            for _, _, tokens, at in _sets(batch, hasher):
+                take = _prefix(at, _marked(new, tokens))[0]
+                if old is not None:
+                    take &= ~_prefix(at, _marked(old, tokens))[0]
+                take &= np.repeat(_fresh(_node(tokens, at), seen), np.diff(at))
+                yield pa.record_batch({"sig": tokens[take].view(np.int64)})
+
+    return docs.mapInArrow(run, "sig long")
+
+
+def frequent_cells(docs: DataFrame) -> np.ndarray:
+    """Packed bit table of the cells of frequent tokens."""
+    table, before = np.zeros(1 << CELL_BITS - 3, np.uint8), None
+    for _ in range(ROUNDS):
+        often = single_tokens(docs, table, before).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
+        cell = F.shiftrightunsigned("sig", 64 - CELL_BITS)
+        # The executors set the bits; what comes back has the table's size, whatever the number of tokens.
+        runs = often.select((cell / _RUN).cast("int").alias("run"), (cell % _RUN).alias("bit")).groupBy("run").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+        if not runs:
+            break
+        table, before = table.copy(), table
+        for r in runs:
+            table[r.run * _RUN // 8 : (r.run + 1) * _RUN // 8] |= np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """Rows (sig, node, n): each set once a task, whatever its copies there."""
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_cells))
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks, seen = WordHasher(SPACED), np.unpackbits(table.value).astype(bool), set()
+        hasher, seen = WordHasher(SPACED), set()
         for batch in batches:
             for _, _, tokens, at in _sets(batch, hasher):
-                nodes = _node(tokens, at)
-                often = marks[(tokens >> np.uint64(64 - cell_bits)).astype(np.int64)]
-                sigs, owner = [], []
-                for t, node in enumerate(nodes.tolist()):
-                    if node and node not in seen:
-                        seen.add(node)
-                        sigs.append(signatures_of(tokens[at[t] : at[t + 1]], often[at[t] : at[t + 1]]))
-                        owner.append(t)
-                if owner:
-                    rows = np.repeat(owner, [len(s) for s in sigs])
-                    yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": nodes[rows], "n": np.diff(at)[rows].astype(np.int32)})
+                nodes, sizes = _node(tokens, at), np.diff(at)
+                fresh, often = _fresh(nodes, seen), _marked(sent.value, tokens)
+                take, rare = _prefix(at, often)
+                take &= np.repeat(fresh, sizes)
+                wide = rare < sizes // 4 + 1
+                sigs, owner = [tokens[take]], [np.repeat(np.arange(len(nodes)), sizes)[take]]
+                for t in np.flatnonzero(fresh & wide).tolist():
+                    sigs.append(pair_signatures(tokens[at[t] : at[t + 1]], often[at[t] : at[t + 1]]))
+                    owner.append(np.full(len(sigs[-1]), t))
+                rows = np.concatenate(owner)
+                yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": nodes[rows], "n": sizes[rows].astype(np.int32)})
 
     return docs.mapInArrow(run, "sig long, node long, n int")
 
@@ -150,13 +221,33 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens array<long>")
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one task's edges (u, v): rows (node, root)."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): the smallest node of each component, for every node with an edge.
 
-    Alternating large-star and small-star steps; every step is an aggregate and
-    an equi-join, each round is written to the shared folder.
+    Up to ONE_TASK edges, counted first, go through one task. More alternate large-star and
+    small-star steps; every step is an aggregate and an equi-join, each round is
+    written to the shared folder.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if e.count() <= ONE_TASK:
+        return materialise(e.coalesce(1).mapInArrow(_roots, "node long, root long"), "roots")
     last = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
@@ -171,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialise(small.distinct(), "links")
 
 
-def _similar_size(a: str, b: str):
+def _similar_size(a, b):
     return (F.least(a, b) * 4 >= F.greatest(a, b) * 3)
 
 
@@ -183,6 +274,49 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").where(both * 100 >= (F.size("x") + F.size("y") - both) * 75).select("u", "v")
 
 
+def _block_links(group: pa.Table) -> pa.Table:
+    """Of the sets of one block, for each asked one a member that it links with, if there is one."""
+    group = group.combine_chunks()
+    asked, nodes = np.asarray(group.column("asked")), np.asarray(group.column("node"))
+    lists = group.column("tokens").combine_chunks()
+    flat, sizes = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    members = np.flatnonzero(~asked)
+    owner = np.repeat(np.arange(len(members)), sizes[members])
+    tokens = np.concatenate([flat[at[m] : at[m + 1]] for m in members]) if len(members) else flat[:0]
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    out = []
+    for x in np.flatnonzero(asked).tolist():
+        own = flat[at[x] : at[x + 1]]
+        lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+        hits = np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist()) if j > i] or [owner[:0]])
+        shared = np.bincount(hits, minlength=len(members))
+        linked = np.flatnonzero(shared * 100 >= (sizes[members] + len(own) - shared) * 75)
+        if len(linked):
+            out.append((nodes[x], nodes[members[linked[0]]]))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def hub_links(mixed: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
+    """Links of nodes with components of many nodes, and the rows of ``mixed`` outside of those."""
+    hubs = materialise(mixed.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= HUB), "hubs")
+    marked = mixed.join(hubs, "root", "left").withColumn("hub", F.col("members").isNotNull())
+    held = marked.where("hub").select("sig", F.col("root").alias("to")).distinct()
+    # Between two such components one direction is enough.
+    asked = materialise(marked.join(held, "sig").where((F.col("root") != F.col("to")) & (~F.col("hub") | (F.col("root") > F.col("to")))).select("node", "to").distinct(), "hub-candidates")
+    members = marked.where("hub").select("node", F.col("root").alias("to")).distinct()
+    blocks = hubs.select(F.col("root").alias("to"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m")).join(asked.groupBy("to").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x")), "to")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    a = asked.join(blocks, "to").select("to", "node", F.lit(True).alias("asked"), part("x").alias("xb"), every("m").alias("mb")).select("to", "node", "asked", "xb", "mb")
+    b = members.join(blocks, "to").select("to", "node", F.lit(False).alias("asked"), part("m").alias("mb"), every("x").alias("xb")).select("to", "node", "asked", "xb", "mb")
+    rows = a.unionByName(b)
+    found = rows.join(sets_of(rows.select("node").distinct()), "node").groupBy("to", "xb", "mb").applyInArrow(_block_links, "u long, v long")
+    return materialise(found.distinct(), "links-hubs"), marked.where("not hub").drop("hub", "members")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: (id, n_shingles, component_id, node).
 
@@ -190,46 +324,67 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the row's set (equal for equal sets, 0 for the empty one).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = min(26, max(16, slim.count().bit_length() + 4))
-    stats = materialise(set_stats(slim, bits), "set-stats")
-    cells = np.zeros(1 << bits, bool)
-    often = stats.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("id").toArrow()
-    cells[np.asarray(often.column("id"))] = True  # at most 2^26 cells, one bit each when sent
-    own = stats.where("kind = 0").drop("kind")
+    spark = docs.sparkSession
+    own = materialise(set_stats(slim), "set-stats")
+    table = frequent_cells(slim)
 
     by_sig = Window.partitionBy("sig")
-    pivot = F.min(F.struct("node", "n")).over(by_sig)
     live = materialise(
-        signatures(slim, cells, bits)
-        .withColumn("p", pivot).withColumn("top", F.max("node").over(by_sig)).where("p.node < top")
-        .select("sig", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")).distinct(), "signatures")
-    star = materialise(
-        live.where((F.col("node") != F.col("pivot")) & _similar_size("n", "pivot_n"))
-        .select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        one = own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(nodes, "node", "left_semi")
-        texts = slim.select(F.coalesce("id", F.lit(_LAST)).alias("rep"), "text").join(one.select("rep"), "rep", "left_semi")
+        signatures(slim, table).withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig))
+        .where("lo < hi").select("sig", "node", "n").distinct(), "signatures")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        reps = materialise(own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(nodes, "node", "left_semi"), "set-owners")
+        few = reps.count() <= SENT_IDS
+        texts = slim.select(F.coalesce("id", F.lit(_LAST)).alias("rep"), "text").join(F.broadcast(reps.select("rep")) if few else reps.select("rep"), "rep", "left_semi")
         return materialise(token_sets(texts.select("text")), "token-sets").join(nodes, "node", "left_semi")
 
-    links = materialise(verify(star, sets_of(star)), "links-star")
-    roots = components(links)
-    # What shares a signature and is not yet in one component.
-    placed = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).where("lo < hi").select("sig", "node", "n", "root")
-    mixed = materialise(mixed, "signatures-mixed")
-    a, b = (mixed.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    rest = (
-        a.join(b, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _similar_size("n_a", "n_b"))
-        .select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-        .join(star, ["u", "v"], "left_anti")
-    )
-    rest = materialise(rest, "rest-pairs")
-    if not rest.isEmpty():
-        more = materialise(verify(rest, sets_of(rest)), "links-rest")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    def pairs_of(mixed: DataFrame) -> DataFrame:
+        """All pairs within signatures and across components that the filters leave."""
+        a, b = (mixed.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
+        outside = lambda s: F.col(f"n_{s}") - F.floor(F.col(f"n_{s}") / 4) - 1
+        most = F.col("c") + F.greatest(outside("a"), outside("b"))
+        return (
+            a.join(b, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _similar_size("n_a", "n_b"))
+            .groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v"), "n_a", "n_b").agg(F.count("*").alias("c"))
+            .where(most * 7 >= (F.col("n_a") + F.col("n_b")) * 3).select("u", "v")
+        )
+
+    links, roots, fresh, mixed = None, None, True, live
+    tested = spark.createDataFrame([], "u long, v long")
+    rows = live.count()
+    for turn in range(TURNS + 1):
+        # A signature whose nodes are in one component stays so, and is left out from then on.
+        placed = mixed.drop("root").withColumn("root", F.col("node")) if roots is None else mixed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).where("lo < hi").drop("lo", "hi")
+        mixed = materialise(mixed, "signatures-mixed")
+        load = mixed.groupBy("sig").agg(F.count("*").alias("g")).agg(F.sum(F.col("g") * (F.col("g") - 1) / 2)).first()[0] or 0
+        # Pairs in proportion to the rows, or a turn without a link: what is left is compared pair by pair.
+        last = turn == TURNS or turn > 0 and (load <= LOAD * rows or not fresh)
+        if last:
+            more, small = hub_links(mixed, sets_of)
+            links = more if links is None else links.unionByName(more)
+            fresh, pairs = not more.isEmpty(), pairs_of(small)
+        else:
+            star = mixed.withColumn("p", F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).over(by_sig))
+            star = star.where((F.col("root") != F.col("p.root")) & _similar_size(F.col("n"), F.col("p.n")))
+            star = star.groupBy(F.col("p.node").alias("p"), "node", "n").agg(F.count("*").alias("c"))
+            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "p"))
+            star = star.withColumn("best", best).where((F.col("best") <= 2) & (F.lit(turn > 0) | (F.col("c") * STAR >= F.col("n"))))
+            pairs = star.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
+        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        fresh = last and fresh
+        if not pairs.isEmpty():
+            nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            found = materialise(verify(pairs, sets_of(nodes)), "links-found")
+            fresh = fresh or not found.isEmpty()
+            links = found if links is None else links.unionByName(found)
+            tested = tested.unionByName(pairs)
+        if fresh:
+            roots = components(links)
+        if last:
+            break
+    roots = spark.createDataFrame([], "node long, root long") if roots is None else roots
     placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.where("node <> 0").groupBy("root").agg(F.min("id").alias("component"))
     return placed.join(first, "root", "left").select(
