@@ -142,6 +142,25 @@ FROM d LEFT JOIN f USING (doc_id)
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
+), d AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM d x JOIN d y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a
+)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
+
+
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, line, pos, translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -156,4 +175,4 @@ FROM l LEFT JOIN k USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_stratified_interleave": OP3_SQL, "op6_mix_sources": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op10_line_dedup": OP10_SQL}
+    return {"op3_stratified_interleave": OP3_SQL, "op6_mix_sources": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op8_ngram_jaccard": OP8_SQL, "op10_line_dedup": OP10_SQL}
