@@ -239,6 +239,17 @@ def test_tokens_equal_the_tokenizer_on_odd_texts():
         assert np.frombuffer(words.ids_of(text.encode()), "<u4").tolist() == want[:-1], text
 
 
+def test_tokens_equal_the_tokenizer_for_every_letter_before_punctuation():
+    import public_tokenizers
+
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    texts = [f"a{c}{t} {c}{t}" for c in letters for t in (".", "?!")]
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [t for t, ids in zip(texts, want) if np.frombuffer(words.ids_of(t.encode()), "<u4").tolist() != ids]
+    assert "\u0130" in letters and "\u0958" in letters and not bad, bad[:10]
+
+
 def test_cutting_stock_is_close_to_its_bound():
     rng = np.random.default_rng(2)
     for n in (0, 1, 50, 20_000):

@@ -16,8 +16,10 @@ added.
 Tokens: this tokenizer drops white space, never joins across it and lower-cases,
 so a text's ids are its words' ids in order. Words are split as bytes, A-Z
 lower-cased, and their ids kept in a bounded cache per worker; a word that ends in
-punctuation after a letter is two words, as the tokenizer itself splits there. Texts with the opening of a special
-token, which is matched before lower-casing, keep their case.
+punctuation after an ASCII letter is two words, as the tokenizer itself splits
+there. Other letters may normalise to one with a combining mark, which goes with
+the punctuation, so those words are encoded whole. Texts with the opening of a
+special token, which is matched before lower-casing, keep their case.
 
 Defined cases: null or empty text is the end token alone; null ids are kept;
 repeated rows are packed each; an empty table gives no rows; other columns are
@@ -54,7 +56,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(_TAIL)
-        if stem and len(stem) < len(word) and b"<|" not in word and stem.decode()[-1].isalpha():
+        if stem and len(stem) < len(word) and b"<|" not in word and b"a" <= stem[-1:] <= b"z":
             ids = self[stem] + self[word[len(stem) :]]
         else:
             ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
