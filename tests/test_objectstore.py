@@ -3,6 +3,7 @@ import threading
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.functions.prng import filler_objects
 from tidewell.sources import objectstore as S
@@ -166,6 +167,20 @@ def test_expiry_budget(store):
         store.expire_uploads(rows=0)
 
 
+def test_expiry_of_an_upload_larger_than_the_budget(store):
+    big, young = store.create_upload("b", "big"), store.create_upload("b", "young")
+    one, two = (store.upload_part(big, "b", "big", i, b"x" * (8120 * n - 5)) for i, n in ((1, 4), (2, 21)))
+    store.upload_part(young, "b", "young", 1, b"y" * 8120 * 3)
+    ask = lambda: store.expire_uploads(grace=timedelta(seconds=-60), rows=10)
+    assert ask() == 10 and [(r.part_no, r.size) for r in store.upload_parts().where(F.col("upload_id") == big).collect()] == [(2, 8120 * 15)]
+    for listed in ([(1, one), (2, two)], [(2, two)], [(2, "")]):
+        with pytest.raises(S.InvalidPart):
+            store.complete_upload(big, "b", "big", listed)
+    assert store.vacuum() == 10 and store.chunks().count() == 18
+    assert [ask() for _ in range(3)] == [10, 8, 0]
+    assert store.uploads().isEmpty() and store.vacuum() == 18 and store.chunks().count() == 0
+
+
 def test_layout_marker(spark, tmp_path):
     S.ObjectStore(spark, f"file://{tmp_path}/s")
     (tmp_path / "s" / "layout.json").write_text('{"version": 2}')

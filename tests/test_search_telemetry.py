@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import search as S
 from tidewell.operators import telemetry as T
-from tidewell.operators.versions import expiry_budget
+from tidewell.operators.versions import expiry_budget, expiry_takes
 
 
 def test_corpus_is_deterministic():
@@ -64,3 +64,14 @@ def test_expiry_budget_bounds(spark):
     assert expiry_budget(df, [F.col("id")], "n", rows=8192, visits=64).count() == 64
     with pytest.raises(ValueError):
         expiry_budget(df, [F.col("id")], "n", rows=9000)
+
+
+def test_expiry_goes_on_inside_a_large_upload(spark):
+    left, runs = {0: 25, 1: 0, 2: 4, 3: 10}, []
+    while left:
+        df = spark.createDataFrame(list(left.items()), "id long, n long")
+        takes = {r.id: r.take for r in expiry_takes(df, [F.col("id")], "n", rows=10).collect()}
+        runs.append(takes)
+        left = {k: n - takes.get(k, 0) for k, n in left.items() if takes.get(k) != n}
+        assert len(runs) < 9
+    assert runs == [{0: 10}, {0: 10}, {0: 5, 1: 0, 2: 4, 3: 1}, {3: 9}]

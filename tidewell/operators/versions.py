@@ -33,12 +33,23 @@ def complete_check(recorded: DataFrame, listed: DataFrame, upload: list[str], pa
     return both.groupBy(*upload).agg(F.bool_and(F.coalesce(F.col("recorded_tag") == F.col("listed_tag"), F.lit(False))).alias("ok"))
 
 
-def expiry_budget(expired: DataFrame, order: list[Column], weight: str, rows: int = 4096, visits: int = 64) -> DataFrame:
-    """The first uploads in ``order`` whose summed weight stays within ``rows``, ``visits`` at most.
+def expiry_takes(expired: DataFrame, order: list[Column], weight: str, rows: int = 4096, visits: int = 64) -> DataFrame:
+    """The first uploads in ``order``, ``visits`` at most, with ``take``: how much of each goes in this run.
 
-    The limit comes first, so the running sum sees ``visits`` rows.
+    ``rows`` is spent in order, inside the upload where it ends; with what is left
+    as its weight, the next run goes on there. The limit comes first, so the
+    running sum sees ``visits`` rows.
     """
     if not 1 <= rows <= 8192:
         raise ValueError("the row budget must be 1 to 8192")
     first = expired.orderBy(*order).limit(visits)
-    return first.withColumn("used", F.sum(weight).over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("used") <= rows).drop("used")
+    left = F.lit(rows) - F.col("used") + F.col(weight)
+    return (
+        first.withColumn("used", F.sum(weight).over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+        .where((F.col("used") <= rows) | (left > 0)).withColumn("take", F.least(F.col(weight), left).cast("long")).drop("used")
+    )
+
+
+def expiry_budget(expired: DataFrame, order: list[Column], weight: str, rows: int = 4096, visits: int = 64) -> DataFrame:
+    """Of ``expiry_takes``, the uploads that go to their end; one that the budget ends in needs further runs."""
+    return expiry_takes(expired, order, weight, rows, visits).where(F.col("take") == F.col(weight)).drop("take")

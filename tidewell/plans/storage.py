@@ -14,7 +14,7 @@ from tidewell.functions import chunking as C
 from tidewell.operators import search as S
 from tidewell.operators import telemetry as T
 from tidewell.operators.listing import list_page
-from tidewell.operators.versions import complete_check, conditional_puts, expiry_budget, latest
+from tidewell.operators.versions import complete_check, conditional_puts, expiry_budget, expiry_takes, latest
 from tidewell.sources.tables import table
 
 _QUERIES, _SQL = {}, {}
@@ -158,11 +158,19 @@ def completed_uploads(spark, sf_dir):
 @_query("""WITH u AS (SELECT conv_id, count(*) AS n, min(conv_id * 13 % 50) AS age FROM conversations GROUP BY conv_id), o AS (SELECT *, row_number() OVER (ORDER BY age DESC, conv_id) AS i, sum(n) OVER (ORDER BY age DESC, conv_id) AS used FROM u WHERE age > 24)
 SELECT conv_id, n FROM o WHERE i <= 64 AND used <= 100""")
 def bounded_expiry(spark, sf_dir):
-    """MUT13, SR6: oldest uploads first, within a row budget."""
+    """MUT13, SR6: the uploads that go wholly in one run, oldest first, within a row budget."""
     u = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("age", F.col("conv_id") * 13 % 50)
     return expiry_budget(u.where("age > 24"), [F.desc("age"), F.asc("conv_id")], "n", rows=100, visits=64).select("conv_id", "n")
 
 
+@_query("""WITH u AS (SELECT conv_id, count(*) AS n, min(conv_id * 13 % 50) AS age FROM conversations GROUP BY conv_id), o AS (SELECT *, row_number() OVER (ORDER BY age DESC, conv_id) AS i, sum(n) OVER (ORDER BY age DESC, conv_id) - n AS before FROM u WHERE age > 24)
+SELECT conv_id, n, CAST(least(n, 100 - before) AS BIGINT) AS take FROM o WHERE i <= 64 AND before < 100""")
+def bounded_expiry_rows(spark, sf_dir):
+    """MUT13, SR6: the rows that one run takes of each upload, the one where the budget ends included."""
+    u = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("age", F.col("conv_id") * 13 % 50)
+    return expiry_takes(u.where("age > 24"), [F.desc("age"), F.asc("conv_id")], "n", rows=100, visits=64).select("conv_id", "n", "take")
+
+
 @_query("SELECT count(*) AS num_hits FROM events WHERE event_type = 'error'")
 def search_term(spark, sf_dir):
     """SE1, SE9."""

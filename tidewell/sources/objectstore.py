@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import chunking as C
 from tidewell.operators.listing import MAX_KEYS, list_page
-from tidewell.operators.versions import expiry_budget
+from tidewell.operators.versions import expiry_takes
 
 LAYOUT_VERSION = 3
 _ACTION = """v long, i long, kind string, op string, bucket string, key string, file_id long, size long, etag string, created_at double,
@@ -429,7 +429,7 @@ class ObjectStore:
                 return []
             self._upload(upload_id, bucket, key)
             rec = self.upload_parts().where(F.col("upload_id") == upload_id).orderBy("part_no").collect()
-            if not rec or len(parts) != len(rec) or {(p, t.strip('"')) for p, t in parts} != {(r.part_no, r.etag) for r in rec}:
+            if not rec or not all(r.etag for r in rec) or len(parts) != len(rec) or {(p, t.strip('"')) for p, t in parts} != {(r.part_no, r.etag) for r in rec}:
                 raise InvalidPart("listed and recorded parts differ")
             ends, at = [], 0
             for r in rec:
@@ -453,16 +453,35 @@ class ObjectStore:
         self._commit(make)
 
     def expire_uploads(self, grace: timedelta = timedelta(hours=24), rows: int = 4096, visits: int = 64, bucket: str | None = None, now: float | None = None) -> int:
-        """Drop the oldest uploads past ``grace``, within a budget of chunk rows; returns the rows that go."""
+        """Drop the oldest uploads past ``grace``, within a budget of chunk rows; returns the rows that go.
+
+        The upload where the budget ends loses parts in order, and the last part it
+        reaches the rows at its end; later runs go on there. A shortened part has
+        no etag, so it can't be completed, only sent again.
+        """
         cut = (now if now is not None else _now()) - grace.total_seconds()
         gone = [0]
 
         def make():
             old = self.uploads().where((F.col("created_at") < cut) & (F.lit(bucket is None) | (F.col("bucket") == (bucket or ""))))
-            weight = self.upload_parts().groupBy("upload_id").agg(F.sum(F.ceil(F.col("size") / C.CHUNK)).alias("n"))
-            due = expiry_budget(old.join(weight, "upload_id", "left").fillna(0, ["n"]), [F.col("created_at"), F.col("upload_id")], "n", rows, visits).collect()
-            gone[0] = int(sum(r.n for r in due))
-            return [{"kind": "upload", "op": "delete", "upload_id": r.upload_id} for r in due]
+            parts = self.upload_parts().withColumn("n", F.ceil(F.col("size") / C.CHUNK))
+            weight = parts.groupBy("upload_id").agg(F.sum("n").alias("n"))
+            due = expiry_takes(old.join(weight, "upload_id", "left").fillna(0, ["n"]), [F.col("created_at"), F.col("upload_id")], "n", rows, visits).collect()
+            gone[0] = int(sum(r.take for r in due))
+            out = [{"kind": "upload", "op": "delete", "upload_id": r.upload_id} for r in due if r.take == r.n]
+            for u in due:
+                if u.take == u.n:
+                    continue
+                left = u.take
+                for r in parts.where(F.col("upload_id") == u.upload_id).orderBy("part_no").collect():  # at most 10,000
+                    if r.n <= left:
+                        out.append({"kind": "part", "op": "delete", "upload_id": u.upload_id, "part_no": r.part_no})
+                        left -= r.n
+                        continue
+                    if left:
+                        out.append({"kind": "part", "op": "put", "upload_id": u.upload_id, "part_no": r.part_no, "file_id": r.file_id, "size": (r.n - left) * C.CHUNK, "etag": ""})
+                    break
+            return out
 
         self._commit(make)
         return gone[0]
@@ -470,12 +489,17 @@ class ObjectStore:
     # -- upkeep
 
     def _live_files(self) -> DataFrame:
-        o = self.objects().select(F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("file_id"))).alias("file_id"))
-        return o.unionByName(self.upload_parts().select("file_id")).distinct()
+        """Rows (live, rows): named files, and how many of their chunk rows if expiry has shortened them."""
+        o = self.objects().select(F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("file_id"))).alias("live"), F.lit(None).cast("long").alias("rows"))
+        return o.unionByName(self.upload_parts().select(F.col("file_id").alias("live"), F.when(F.col("etag") == "", F.ceil(F.col("size") / C.CHUNK)).alias("rows"))).distinct()
+
+    @staticmethod
+    def _is_live():
+        return (F.col("file_id") == F.col("live")) & (F.col("rows").isNull() | (F.col("no") < F.col("rows")))
 
     def stranded(self) -> DataFrame:
         """Chunk rows that no object or open upload names."""
-        return self.chunks().select("file_id", "no", "folder").join(self._live_files(), "file_id", "left_anti")
+        return self.chunks().select("file_id", "no", "folder").join(self._live_files(), self._is_live(), "left_anti")
 
     def vacuum(self) -> int:
         """Rewrite the folders that hold stranded rows without them; returns how many went.
@@ -484,7 +508,7 @@ class ObjectStore:
         """
         counts = self.stranded().groupBy("folder").agg(F.count("*").alias("n")).collect()  # 32 folders at most
         for r in counts:
-            kept = self.chunks().where(F.col("folder") == r.folder).join(self._live_files(), "file_id", "left_semi").drop("folder")
+            kept = self.chunks().where(F.col("folder") == r.folder).join(self._live_files(), self._is_live(), "left_semi").drop("folder")
             new, old = self._path(f"tmp-{uuid.uuid4().hex}"), self._path(f"chunks/folder={r.folder}")
             kept.write.parquet(new.toString())
             self._fs.delete(old, True)
