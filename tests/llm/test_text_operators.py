@@ -117,6 +117,25 @@ def test_keep_one(spark, odd, empty):
     assert ngramjoin.keep_one(empty).count() == 0
 
 
+def test_keep_one_compares_rows_without_id(spark):
+    docs = [(None if i % 3 else i - 3 * (1 << 61) * (i % 2), t) for i, t in near_copies(7, 120)]
+    docs += [(None, "one two three four five six lost"), (None, "one two three four five six lost"), (None, " \t"), (None, None), (None, None)]
+    docs += [(None, "a null beside the largest id here"), ((1 << 63) - 1, "a null beside the largest id here")]
+    kept = Counter((r.doc_id, r.text) for r in ngramjoin.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    # Rows with an own number each, those without an id last: what stays is the least of each component.
+    order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+    groups = defaultdict(list)
+    for (i, n, c), _ in plain_components([(k, t) for k, (_, t) in enumerate(order)]).items():
+        groups[c].append((i, n))
+    sets = {c: {shingle_set(order[i][1]) for i, _ in own} for c, own in groups.items()}
+    for c, own in groups.items():
+        stay = [(d, t) for d, t in kept if (d, t) == order[c] or order[c][0] is None and d is None and shingle_set(t) in sets[c]] if own[0][1] else []
+        assert not own[0][1] or len(stay) == 1 and kept[stay[0]] == 1, order[c]
+    empty = Counter(d for d in docs if not shingle_set(d[1]))
+    assert all(kept[d] == n for d, n in empty.items())
+    assert sum(kept.values()) == len(groups)
+
+
 def test_words_and_shingles_by_brute_force():
     rng = random.Random(0)
     texts = ["".join(rng.choice("aB c\n\té日 .1-") for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["", None, "x" * 3_000_000, "a b c d e " * 200_000]

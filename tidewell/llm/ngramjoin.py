@@ -317,11 +317,11 @@ def hub_links(mixed: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     return materialise(found.distinct(), "links-hubs"), marked.where("not hub").drop("hub", "members")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: (id, n_shingles, component_id, node).
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: (id, n tokens, node, root).
 
-    ``component_id`` is the smallest id reachable by links, ``node`` the hash of
-    the row's set (equal for equal sets, 0 for the empty one).
+    ``node`` is the hash of the row's set (equal for equal sets, 0 for the empty
+    one), ``root`` one node of its component.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -385,7 +385,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             break
     roots = spark.createDataFrame([], "node long, root long") if roots is None else roots
-    placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("id", "n", "node", "root")
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: (id, n_shingles, component_id, node).
+
+    ``component_id`` is the smallest id reachable by links, ``node`` the hash of
+    the row's set (equal for equal sets, 0 for the empty one).
+    """
+    placed = linked(docs, id_col, text_col)
     first = placed.where("node <> 0").groupBy("root").agg(F.min("id").alias("component"))
     return placed.join(first, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -393,19 +402,32 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+    """``docs`` with one document of each component: the one with the smallest id, one with a null id if all are null.
 
-    Documents with the empty set all stay, and so do rows with a null id, which
-    are not compared. Of rows that repeat an id and its text one stays.
+    Documents with the empty set all stay. Of rows that repeat an id and its text
+    one stays, also where the id is null. Rows with a null id join by the hash of
+    their text.
     """
-    known = docs.where(F.col(id_col).isNotNull())
-    found = link_components(known, id_col, text_col)
-    keep = found.where((F.col(id_col) == F.col("component_id")) | (F.col("n_shingles") == 0)).groupBy(F.col(id_col).cast("long").alias("__keep")).agg(F.max(F.col("n_shingles") > 0).alias("__one"))
+    lost, worded = F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
+    known = docs.where(~lost)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    nulls = docs.where(lost & worded).groupBy(F.xxhash64(text_col).alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row"))
+    nulls = materialise(nulls, "null-ids")
+    found = linked(
+        known.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        .unionByName(nulls.select(F.col("__key").alias("id"), F.col("__row")[text_col].alias("text"))), "id")
+    found = found.join(nulls.select(F.col("__key").alias("id"), F.lit(True).alias("lost")), "id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    best = found.where("node <> 0").groupBy("root").agg(F.min(F.struct("lost", "id")).alias("best"))
+    keep = (
+        found.join(best, "root", "left").where((F.struct("lost", "id") == F.col("best")) | (F.col("n") == 0))
+        .groupBy("lost", F.col("id").alias("__keep")).agg(F.max(F.col("n") > 0).alias("__one"))
+    )
     # The window reuses the join's partitioning.
     again = F.row_number().over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col)))
     repeat = F.lag(F.xxhash64(text_col)).over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col))).eqNullSafe(F.xxhash64(text_col))
     kept = (
-        known.withColumn("__keep", F.col(id_col).cast("long")).join(keep, "__keep")
+        known.withColumn("__keep", F.col(id_col).cast("long")).join(keep.where("not lost").drop("lost"), "__keep")
         .withColumn("__again", F.col("__one") & repeat & (again > 1)).where("not __again").select(*docs.columns)
     )
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    chosen = nulls.join(keep.where("lost").select(F.col("__keep").alias("__key")), "__key", "left_semi").select("__row.*")
+    return kept.unionByName(chosen).unionByName(docs.where(lost & ~worded))
