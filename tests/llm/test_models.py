@@ -110,3 +110,54 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
     assert Counter(r.doc_id for r in docs.collect())
     assert P.run(spark, sf).count() == counts[-1]
+
+
+def test_pipeline_stages_equal_plain_versions(spark, sf):
+    """Each stage's rows against plain Python, on shared lines, near copies and several sources."""
+    import hashlib
+    import re
+
+    import corpus_pipeline as P
+    from test_native import plain_dedup
+    from test_text_operators import check_packing, near_copies, plain_components
+
+    stages = [f for _, f in P.STAGES]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = Counter()
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        good[r] += int(quality.score_slice(model, raw, np.array([0, len(raw)]))[0] >= 0.3)
+    assert Counter(stages[0](spark, docs, sf).collect()) == +good and 0 < good.total() < docs.count()
+
+    texts = [(i, t + ("\na line that many share\n" if i % 3 else "\nshort") + f"own line of {i}") for i, t in near_copies(11, 90)]
+    rows = [(i, t, len(t), "abc"[min(2, i % 7)]) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, source string")
+    source = {i: s for i, _, _, s in rows}
+
+    lines = {d: (n, t) for d, (_, n, t) in plain_dedup(texts)}
+    want = [(d, lines[d][1], len(lines[d][1]), source[d]) for d, _ in texts]
+    docs = spark.createDataFrame(got := sorted(map(tuple, stages[1](spark, docs, sf).collect())), docs.schema)
+    assert got == want and any(n for n, _ in lines.values())
+
+    least = {d: c for d, n, c in plain_components([(d, t) for d, t, _, _ in want]) if n}
+    want = [r for r in want if least.get(r[0], r[0]) == r[0]]
+    docs = spark.createDataFrame(got := sorted(map(tuple, stages[2](spark, docs, sf).collect())), docs.schema)
+    assert got == want and 3 < len(want) < len(rows)
+
+    words = {d: len(re.findall(r"[^ \t-\r]+", t)) for d, t, _, _ in want}
+    size = {s: sum(words[r[0]] for r in want if r[3] == s) for s in "abc"}
+    weight, capped, budget = dict(zip("abc", (5, 2, 1))), set(), 1.5 * sum(size.values())
+    while True:
+        level = (budget - sum(2.0 * size[s] for s in capped)) / (sum(weight[s] for s in weight if s not in capped) or 1)
+        over = {s for s in weight if s not in capped and level * weight[s] > 2.0 * size[s]}
+        if not over:
+            break
+        capped |= over
+    rate = {s: 2.0 if s in capped else level * weight[s] / size[s] for s in weight}
+    draw = lambda d: int(hashlib.md5(f"mix-0:{d}".encode()).hexdigest()[:13], 16) / 2**52
+    want = [r for r in want for _ in range(int(rate[r[3]]) + (draw(r[0]) < rate[r[3]] % 1))]
+    docs = spark.createDataFrame(got := sorted(map(tuple, stages[3](spark, docs, sf).collect())), docs.schema)
+    assert got == want and len(set(want)) < len(want)
+
+    check_packing(stages[4](spark, docs, sf).collect(), [r[:2] for r in want])
