@@ -70,3 +70,15 @@ def test_multipart_etag(spark):
     df = spark.createDataFrame([(n, bytearray(d)) for n, d in parts], "n int, d binary")
     got = df.agg(C.multipart_etag(F.col("n"), F.sha2("d", 256)).alias("e")).first().e
     assert got == hashlib.sha256(b"".join(hashlib.sha256(d).digest() for _, d in sorted(parts))).hexdigest()
+
+
+def test_range_reads_span_parts(spark, sf, monkeypatch):
+    from tidewell.plans import storage
+
+    asked, plan = [], C.plan_pieces
+    monkeypatch.setattr(C, "plan_pieces", lambda requests, **options: asked.append(requests) or plan(requests, **options))
+    storage.queries()["range_reads"](spark, sf)
+    segments = [r.segments for r in asked[0].collect()]
+    assert {len(s) for s in segments} == {1, 4} and any(x.len == 0 for s in segments for x in s)
+    bases = plan(asked[0], step=2).groupBy("doc_id").agg({"base": "count"}).collect()
+    assert max(r[1] for r in bases) > 1
