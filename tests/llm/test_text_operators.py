@@ -74,13 +74,11 @@ def near_copies(seed, n, words=60):
     return docs
 
 
-@pytest.mark.parametrize("seed,frequent,turns", [(1, 24, 3), (2, 3, 3), (3, 1, 3), (4, 2, 0)])
-def test_join_is_exact_whatever_is_frequent(spark, monkeypatch, seed, frequent, turns):
-    monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
-    monkeypatch.setattr(ngramjoin, "TURNS", turns)
-    monkeypatch.setattr(ngramjoin, "HUB", 4)
-    monkeypatch.setattr(ngramjoin, "BLOCK", 8)
-    monkeypatch.setattr(ngramjoin, "ONE_TASK", 0 if seed % 2 else 10**6)
+@pytest.mark.parametrize("seed,rare,block", [(1, 24, 8), (2, 3, 8), (3, 1, 16), (4, 2, 512)])
+def test_join_is_exact_whatever_is_rare(spark, monkeypatch, seed, rare, block):
+    monkeypatch.setattr(ngramjoin, "RARE", rare)
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "CELL_BITS", 16 + 5 * (seed % 3))
     docs = near_copies(seed, 160)
     assert components(spark.createDataFrame(docs, "doc_id long, text string")) == plain_components(docs)
 

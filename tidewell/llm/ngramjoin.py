@@ -6,11 +6,12 @@ each misses at most a quarter of its own tokens. The join finds the components
 of the link graph exactly:
 
 1. ``set_stats``: per document its set size and the set's hash; equal sets
-   become one node. ``frequent_cells``: tokens that many nodes would index are
-   marked *frequent* in a bit table of fixed size, over all documents. Marking
-   moves a token behind the rare ones, which lets others into the prefixes, so the
-   count is repeated for those until few are new. Which tokens are marked
-   steers cost alone, as any fixed total order of tokens keeps the join exact.
+   become one node. ``frequent_cells``: tokens that more than ``RARE`` sets would
+   index are marked *frequent* in a bit table of fixed size, counted over all
+   documents. Marking moves a token behind the rare ones, which lets others into
+   the prefixes, so the count is repeated for those. Which tokens are marked
+   steers cost alone, as any fixed total order of tokens keeps the join exact;
+   at a size where every cell is marked all sets index combinations.
 2. ``signatures``: tokens are ordered rare first, then by hash. A node indexes
    single rare tokens. Where they don't suffice, the prefix is extended into the
    frequent tokens, which are dealt into small groups; only pairs of one group
@@ -20,23 +21,23 @@ of the link graph exactly:
    prefix holds every token up to there, both index it. The number of groups
    goes by the power of two below the smaller set's size; a set also indexes
    under the next smaller power if a partner may be that small.
-3. Each signature's nodes are paired with one of them only (a star), by exact
-   intersection for the two partners that share most signatures; links are
-   contracted to components. While signatures hold many nodes of different components,
-   further turns do the same with other centres.
-4. Nodes of one signature that are still in different components are compared
-   with each other, so nothing is lost; that is where frequent tokens would hurt
-   and their combinations help. Against a component of many nodes a node is a candidate
-   once, and is compared with its members in blocks, from which only links come
-   out. Pairs of the other nodes are listed. Two filters
-   that cannot lose a link go before the verification: by size, and by the number c
-   of signatures that a pair shares. A prefix is built so that its tokens are need +
-   (groups in it); of each group with s shared tokens s <= 1 + s (s - 1) / 2, so at most c + groups
-   tokens are shared in the prefix that ends first, and c + n - need in all.
-
-No text or set goes to the driver; the driver sees counts, and the table of
-frequent cells, of fixed size (2 MB). A group of near copies costs edges in proportion
-to its size, since step 4 meets one component.
+3. ``rare_pairs``: a signature of at most RARE nodes gives pairs, at most
+   (RARE - 1) / 2 a row. Two filters that cannot lose a link go before the
+   verification: by size, and by the number c of signatures that a pair shares.
+   A prefix is built so that its tokens are need + (groups in it); of each group
+   with s shared tokens s <= 1 + s (s - 1) / 2, so at most c + groups tokens are
+   shared in the prefix that ends first, and c + n - need in all. A pair that
+   shares a signature of more nodes, too, is compared in step 4.
+4. ``hot_links``: signatures of more than RARE nodes come from near copies and
+   shared passages, and the same nodes meet in many of them. All those
+   signatures with the same first node (by hash) become one group, so a pair
+   meets in few groups. No pair of a group is listed: its nodes are dealt into
+   blocks, and from a block come only the links that join what it had apart.
+   Two such deals contract what is linked; then the nodes of a group outside its
+   largest component are compared with all nodes of it, again in blocks.
+
+No text or set goes to the driver; the driver sees counts, and bit tables of
+fixed size (8 MB).
 
 Words: ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased. Fewer words
 than five: the whole sequence is one shingle.
@@ -49,29 +50,25 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.textkit import SPACED, WordHasher, distinct, mix64, shingles, slices
 from tidewell.llm.workdir import materialise
 
 _LAST = (1 << 63) - 1
-#: A token is frequent if more nodes than this would index it; bits of the table's cells; rounds of the count at most.
-FREQUENT, CELL_BITS, ROUNDS = 1, 24, 4
+#: A token that more sets would index is frequent, and a signature that more have isn't listed in pairs.
+RARE = 8
+#: Bits of a table's number of cells; counts of the tokens that sets would index, at most.
+CELL_BITS, ROUNDS = 26, 5
 _RUN = 32768  # bits in one of Spark's bitmaps
-#: Turns of stars at most, and the pairs a row left at which they end; a star's pairs are verified in the first turn if
-#: they share at least 1 / STAR as many signatures as the set has tokens.
-TURNS, LOAD, STAR = 2, 3, 12
-#: A component with so many nodes is compared in blocks, of at most BLOCK sets on either side.
-HUB, BLOCK = 32, 1024
-#: Up to so many ids are sent to all tasks; more are joined.
-SENT_IDS = 200_000
-#: Up to so many edges, components are found in one task.
-ONE_TASK = 200_000
+#: Sets and tokens that a block has on either side, about; salts of a combination's rows.
+BLOCK, BLOCK_TOKENS, SALTS = 512, 1 << 18, 16
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,13 +106,17 @@ def _marked(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (table[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _prefix(at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of the single tokens that each set indexes (its first rare ones), and how many rare ones each has."""
+def _prefix(at: np.ndarray, frequent: np.ndarray, ahead: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the single tokens that each set indexes (its first rare ones), and how many rare ones each has.
+
+    ``ahead``: beyond them as many as the set has frequent tokens, up to twice the number, as the next are likely frequent, too.
+    """
     rare = np.concatenate(([0], np.cumsum(~frequent)))
     own = np.diff(rare[at])
-    before = np.repeat(rare[at[:-1]], np.diff(at))
-    need = np.repeat(np.diff(at) // 4 + 1, np.diff(at))
-    return ~frequent & (rare[:-1] - before < need), own
+    need = np.diff(at) // 4 + 1
+    if ahead:
+        need = need + np.minimum(need, np.diff(at) - own)
+    return ~frequent & (rare[:-1] - np.repeat(rare[at[:-1]], np.diff(at)) < np.repeat(need, np.diff(at))), own
 
 
 def _pairs(tokens: np.ndarray, need: int, bracket: int) -> np.ndarray:
@@ -154,40 +155,50 @@ def _fresh(nodes: np.ndarray, seen: set) -> np.ndarray:
 
 
 def single_tokens(docs: DataFrame, table: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
-    """Rows (sig) of the single tokens that sets index; with ``before`` only those that they did not index under that table."""
+    """Rows (sig) of the single tokens that sets may index; with ``before`` only those that they did not under that table."""
     sent = docs.sparkSession.sparkContext.broadcast((table, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, (new, old) = WordHasher(SPACED), set(), sent.value
         for batch in batches:
             for _, _, tokens, at in _sets(batch, hasher):
-                take = _prefix(at, _marked(new, tokens))[0]
+                take = _prefix(at, _marked(new, tokens), True)[0]
                 if old is not None:
-                    take &= ~_prefix(at, _marked(old, tokens))[0]
+                    take &= ~_prefix(at, _marked(old, tokens), True)[0]
                 take &= np.repeat(_fresh(_node(tokens, at), seen), np.diff(at))
                 yield pa.record_batch({"sig": tokens[take].view(np.int64)})
 
     return docs.mapInArrow(run, "sig long")
 
 
+def bit_table(keys: DataFrame, table: np.ndarray | None = None) -> np.ndarray | None:
+    """Packed bit table with the cells (first bits) of 64-bit keys, and those of ``table``; None if there are no keys.
+
+    The executors set the bits; what comes back has the table's size, whatever the number of keys.
+    """
+    cell = F.shiftrightunsigned(keys[0], 64 - CELL_BITS)
+    runs = keys.select((cell / _RUN).cast("int").alias("run"), (cell % _RUN).alias("bit")).groupBy("run").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    if not runs:
+        return None
+    table = np.zeros(1 << CELL_BITS - 3, np.uint8) if table is None else table.copy()
+    for r in runs:
+        table[r.run * _RUN // 8 : (r.run + 1) * _RUN // 8] |= np.frombuffer(r.bits, np.uint8)
+    return table
+
+
 def frequent_cells(docs: DataFrame) -> np.ndarray:
     """Packed bit table of the cells of frequent tokens."""
     table, before = np.zeros(1 << CELL_BITS - 3, np.uint8), None
     for _ in range(ROUNDS):
-        often = single_tokens(docs, table, before).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
-        cell = F.shiftrightunsigned("sig", 64 - CELL_BITS)
-        # The executors set the bits; what comes back has the table's size, whatever the number of tokens.
-        runs = often.select((cell / _RUN).cast("int").alias("run"), (cell % _RUN).alias("bit")).groupBy("run").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-        if not runs:
+        more = bit_table(single_tokens(docs, table, before).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("sig"), table)
+        if more is None:
             break
-        table, before = table.copy(), table
-        for r in runs:
-            table[r.run * _RUN // 8 : (r.run + 1) * _RUN // 8] |= np.frombuffer(r.bits, np.uint8)
+        table, before = more, table
     return table
 
 
 def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """Rows (sig, node, n): each set once a task, whatever its copies there."""
+    """Rows (sig, node, n, salt): each set once a task, whatever its copies there. ``salt`` is 0 for single tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,51 +215,69 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     sigs.append(pair_signatures(tokens[at[t] : at[t + 1]], often[at[t] : at[t + 1]]))
                     owner.append(np.full(len(sigs[-1]), t))
                 rows = np.concatenate(owner)
-                yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": nodes[rows], "n": sizes[rows].astype(np.int32)})
+                salt = np.where(np.arange(len(rows)) < len(sigs[0]), 0, 1 + (nodes[rows] & (SALTS - 1))).astype(np.int8)
+                yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": nodes[rows], "n": sizes[rows].astype(np.int32), "salt": salt})
 
-    return docs.mapInArrow(run, "sig long, node long, n int")
+    return docs.mapInArrow(run, "sig long, node long, n int, salt byte")
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """Rows (node, tokens) for rows (text)."""
+def token_sets(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows (node, tokens), one for each row (node, rep) of ``owners``, from the row of ``docs`` (id, text) with id ``rep``.
+
+    A bit table of the wanted rows, of fixed size, keeps most others in the scan; the join leaves out the rest.
+    """
+    # A node's bits are random, those of small ids are not; both are in the cell, so copies of a wanted text stay behind.
+    table = bit_table(owners.select(F.col("node").bitwiseXOR(F.shiftleft("rep", 64 - CELL_BITS))))
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACED)
         for batch in batches:
-            for _, _, tokens, at in _sets(batch, hasher):
-                yield pa.record_batch({"node": pa.array(_node(tokens, at)), "tokens": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))})
+            ids = np.asarray(batch.column("rep"))
+            for a, b, tokens, at in _sets(batch, hasher):
+                node = _node(tokens, at)
+                key = node.view(np.uint64) ^ (ids[a:b].astype(np.uint64) << np.uint64(64 - CELL_BITS))
+                kept = _marked(sent.value, key) if sent.value is not None else np.zeros(b - a, bool)
+                own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.record_batch({"node": pa.array(node), "rep": pa.array(ids[a:b]), "tokens": own}).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    found = docs.select(F.coalesce("id", F.lit(_LAST)).alias("rep"), "text").mapInArrow(run, "node long, rep long, tokens array<long>")
+    return found.join(owners, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one task's edges (u, v): rows (node, root)."""
-    up: dict[int, int] = {}
+class _Forest(dict):
+    """Union-find; the smallest of a tree is its root."""
 
-    def find(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
+    def find(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = x = self[self[x]]
         return x
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's edges (u, v) as stars around the smallest node of each tree."""
+    up = _Forest()
     for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = find(u), find(v)
-            up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+            up.join(u, v)
+    pairs = [(x, r) for x in list(up) if (r := up.find(x)) != x]
+    yield pa.record_batch({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, root): the smallest node of each component, for every node with an edge.
+    """Rows (node, root): the smallest node of its component, for every other node with an edge.
 
-    Up to ONE_TASK edges, counted first, go through one task. More alternate large-star and
-    small-star steps; every step is an aggregate and an equi-join, each round is
-    written to the shared folder.
+    Each task first contracts its own edges. Then large-star and small-star steps
+    alternate until nothing changes; every step is an aggregate and an
+    equi-join, each round is written to the shared folder.
     """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    if e.count() <= ONE_TASK:
-        return materialise(e.coalesce(1).mapInArrow(_roots, "node long, root long"), "roots")
-    last = None
+    e, last = materialise(edges.where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links"), None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if mark == last:
@@ -274,47 +303,86 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").where(both * 100 >= (F.size("x") + F.size("y") - both) * 75).select("u", "v")
 
 
+def rare_pairs(rows: DataFrame) -> DataFrame:
+    """From the rows (sig, node, n) of signatures with few nodes: the pairs (u, v) that the filters leave."""
+    a, b = (rows.select("sig", F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    outside = lambda s: F.col(f"n_{s}") - F.floor(F.col(f"n_{s}") / 4) - 1
+    most = F.col("c") + F.greatest(outside("a"), outside("b"))
+    return (
+        a.join(b, "sig").where((F.col("node_a") < F.col("node_b")) & _similar_size("n_a", "n_b"))
+        .groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v"), "n_a", "n_b").agg(F.count("*").alias("c"))
+        .where(most * 7 >= (F.col("n_a") + F.col("n_b")) * 3).select("u", "v")
+    )
+
+
 def _block_links(group: pa.Table) -> pa.Table:
-    """Of the sets of one block, for each asked one a member that it links with, if there is one."""
+    """Links between the rows ``x`` and the rows ``y`` of a block: a spanning forest over its components so far.
+
+    A row has (node, root, x, y, tokens); rows of one root are together already.
+    """
     group = group.combine_chunks()
-    asked, nodes = np.asarray(group.column("asked")), np.asarray(group.column("node"))
+    nodes, roots, x, y = (np.asarray(group.column(c)) for c in ("node", "root", "x", "y"))
     lists = group.column("tokens").combine_chunks()
-    flat, sizes = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    members = np.flatnonzero(~asked)
+    flat, at = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+    at = at - at[0]
+    sizes, up, out = np.diff(at), _Forest(), []
+    members = np.flatnonzero(y)
     owner = np.repeat(np.arange(len(members)), sizes[members])
-    tokens = np.concatenate([flat[at[m] : at[m + 1]] for m in members]) if len(members) else flat[:0]
+    tokens = np.concatenate([flat[at[m] : at[m + 1]] for m in members] or [flat[:0]])
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    out = []
-    for x in np.flatnonzero(asked).tolist():
-        own = flat[at[x] : at[x + 1]]
+    tokens, owner, roots = tokens[order], owner[order], roots.tolist()
+    for i in np.flatnonzero(x).tolist():
+        own = flat[at[i] : at[i + 1]]
         lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
-        hits = np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist()) if j > i] or [owner[:0]])
+        hits = np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist()) if b > a] or [owner[:0]])
         shared = np.bincount(hits, minlength=len(members))
-        linked = np.flatnonzero(shared * 100 >= (sizes[members] + len(own) - shared) * 75)
-        if len(linked):
-            out.append((nodes[x], nodes[members[linked[0]]]))
+        for m in members[shared * 100 >= (sizes[members] + len(own) - shared) * 75].tolist():
+            if up.join(roots[i], roots[m]):
+                out.append((nodes[i], nodes[m]))
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def hub_links(mixed: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
-    """Links of nodes with components of many nodes, and the rows of ``mixed`` outside of those."""
-    hubs = materialise(mixed.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= HUB), "hubs")
-    marked = mixed.join(hubs, "root", "left").withColumn("hub", F.col("members").isNotNull())
-    held = marked.where("hub").select("sig", F.col("root").alias("to")).distinct()
-    # Between two such components one direction is enough.
-    asked = materialise(marked.join(held, "sig").where((F.col("root") != F.col("to")) & (~F.col("hub") | (F.col("root") > F.col("to")))).select("node", "to").distinct(), "hub-candidates")
-    members = marked.where("hub").select("node", F.col("root").alias("to")).distinct()
-    blocks = hubs.select(F.col("root").alias("to"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m")).join(asked.groupBy("to").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x")), "to")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    a = asked.join(blocks, "to").select("to", "node", F.lit(True).alias("asked"), part("x").alias("xb"), every("m").alias("mb")).select("to", "node", "asked", "xb", "mb")
-    b = members.join(blocks, "to").select("to", "node", F.lit(False).alias("asked"), part("m").alias("mb"), every("x").alias("xb")).select("to", "node", "asked", "xb", "mb")
-    rows = a.unionByName(b)
-    found = rows.join(sets_of(rows.select("node").distinct()), "node").groupBy("to", "xb", "mb").applyInArrow(_block_links, "u long, v long")
-    return materialise(found.distinct(), "links-hubs"), marked.where("not hub").drop("hub", "members")
+def _parts(sets: Column, tokens: Column) -> Column:
+    """Blocks for so many sets with so many tokens."""
+    return F.greatest(F.ceil(sets / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
+def hot_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within the groups ``rows`` (lead, node, n): a spanning forest of all there are."""
+    links, roots = None, None
+    deal = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+
+    def placed() -> DataFrame:
+        """The groups that lie in several components so far, and the number of blocks of each."""
+        own = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = own.groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        return own.join(apart.select("lead", "parts"), "lead")
+
+    def compared(blocks: DataFrame, keys: list[str]) -> DataFrame:
+        return blocks.join(sets, "node").groupBy(*keys).applyInArrow(_block_links, "u long, v long")
+
+    for turn in range(3):
+        own = placed()
+        if turn:  # a group of one block is done
+            own = own.where("parts > 1")
+        if turn < 2:
+            blocks = own.select("lead", "node", "root", deal("parts", turn).alias("xb"), F.lit(True).alias("x"), F.lit(True).alias("y"))
+            found = compared(blocks, ["lead", "xb"])
+        else:
+            largest = own.groupBy("lead", "root").agg(F.count("*").alias("k")).groupBy("lead").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+            own = own.join(largest, "lead").withColumn("out", F.col("root") != F.col("most"))
+            few = own.where("out").groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("x_parts"))
+            own = own.join(few, "lead")
+            every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+            x = own.where("out").select("lead", "node", "root", deal("x_parts", 2).alias("xb"), every("parts").alias("yb"), F.lit(True).alias("x"), F.lit(False).alias("y"))
+            y = own.select("lead", "node", "root", deal("parts", 2).alias("yb"), every("x_parts").alias("xb"), F.lit(False).alias("x"), F.lit(True).alias("y"))
+            found = compared(x.unionByName(y), ["lead", "xb", "yb"])
+        found = materialise(found, "links-found")
+        links = found if links is None else links.unionByName(found)
+        if turn < 2:
+            roots = components(links)
+    return links
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,67 +392,21 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     one), ``root`` one node of its component.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     own = materialise(set_stats(slim), "set-stats")
-    table = frequent_cells(slim)
-
-    by_sig = Window.partitionBy("sig")
-    live = materialise(
-        signatures(slim, table).withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig))
-        .where("lo < hi").select("sig", "node", "n").distinct(), "signatures")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        reps = materialise(own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(nodes, "node", "left_semi"), "set-owners")
-        few = reps.count() <= SENT_IDS
-        texts = slim.select(F.coalesce("id", F.lit(_LAST)).alias("rep"), "text").join(F.broadcast(reps.select("rep")) if few else reps.select("rep"), "rep", "left_semi")
-        return materialise(token_sets(texts.select("text")), "token-sets").join(nodes, "node", "left_semi")
-
-    def pairs_of(mixed: DataFrame) -> DataFrame:
-        """All pairs within signatures and across components that the filters leave."""
-        a, b = (mixed.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-        outside = lambda s: F.col(f"n_{s}") - F.floor(F.col(f"n_{s}") / 4) - 1
-        most = F.col("c") + F.greatest(outside("a"), outside("b"))
-        return (
-            a.join(b, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _similar_size("n_a", "n_b"))
-            .groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v"), "n_a", "n_b").agg(F.count("*").alias("c"))
-            .where(most * 7 >= (F.col("n_a") + F.col("n_b")) * 3).select("u", "v")
-        )
-
-    links, roots, fresh, mixed = None, None, True, live
-    tested = spark.createDataFrame([], "u long, v long")
-    rows = live.count()
-    for turn in range(TURNS + 1):
-        # A signature whose nodes are in one component stays so, and is left out from then on.
-        placed = mixed.drop("root").withColumn("root", F.col("node")) if roots is None else mixed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).where("lo < hi").drop("lo", "hi")
-        mixed = materialise(mixed, "signatures-mixed")
-        load = mixed.groupBy("sig").agg(F.count("*").alias("g")).agg(F.sum(F.col("g") * (F.col("g") - 1) / 2)).first()[0] or 0
-        # Pairs in proportion to the rows, or a turn without a link: what is left is compared pair by pair.
-        last = turn == TURNS or turn > 0 and (load <= LOAD * rows or not fresh)
-        if last:
-            more, small = hub_links(mixed, sets_of)
-            links = more if links is None else links.unionByName(more)
-            fresh, pairs = not more.isEmpty(), pairs_of(small)
-        else:
-            star = mixed.withColumn("p", F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).over(by_sig))
-            star = star.where((F.col("root") != F.col("p.root")) & _similar_size(F.col("n"), F.col("p.n")))
-            star = star.groupBy(F.col("p.node").alias("p"), "node", "n").agg(F.count("*").alias("c"))
-            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "p"))
-            star = star.withColumn("best", best).where((F.col("best") <= 2) & (F.lit(turn > 0) | (F.col("c") * STAR >= F.col("n"))))
-            pairs = star.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
-        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        fresh = last and fresh
-        if not pairs.isEmpty():
-            nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            found = materialise(verify(pairs, sets_of(nodes)), "links-found")
-            fresh = fresh or not found.isEmpty()
-            links = found if links is None else links.unionByName(found)
-            tested = tested.unionByName(pairs)
-        if fresh:
-            roots = components(links)
-        if last:
-            break
-    roots = spark.createDataFrame([], "node long, root long") if roots is None else roots
+
+    # Combinations may have many nodes, so they are dealt by a salt, too, and stay; single tokens of one node go.
+    near = Window.partitionBy("sig", "salt")
+    rows = signatures(slim, frequent_cells(slim)).withColumn("lo", F.min("node").over(near)).withColumn("hi", F.max("node").over(near))
+    rows = materialise(rows.where("lo < hi or salt > 0").select("sig", "node", "n").distinct(), "signatures")
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("lead")))
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("g"), first.alias("first")).where("g > 1").select("sig", "g", "first.lead")
+    pairs = materialise(rare_pairs(rows.join(sizes.where(F.col("g") <= RARE).select("sig"), "sig")), "pairs")
+    hot = materialise(rows.join(sizes.where(F.col("g") > RARE).select("sig", "lead"), "sig").select("lead", "node", "n").distinct(), "groups")
+
+    wanted = functools.reduce(DataFrame.unionByName, (pairs.select(F.col("u").alias("node")), pairs.select(F.col("v").alias("node")), hot.select("node"))).distinct()
+    owners = own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(wanted, "node", "left_semi")
+    sets = materialise(token_sets(slim, materialise(owners, "set-owners")), "token-sets")
+    roots = components(materialise(verify(pairs, sets), "links-found").unionByName(hot_links(hot, sets)))
     return own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("id", "n", "node", "root")
 
 
