@@ -12,7 +12,7 @@ def odd(spark):
         (9, "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG  \nother", "c"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    return df.withColumns({c: F.lit("x") for c in ("id", "node", "h", "sig", "n", "u", "v", "blob", "keep", "key", "size", "rank", "class", "range", "o", "th", "shard", "mix", "quality_x")})
+    return df.withColumns({c: F.lit("x") for c in ("id", "node", "h", "sig", "n", "u", "v", "blob", "keep", "key", "size", "rank", "class", "range", "o", "th", "shard", "mix", "quality", "score", "deduped", "ld_row", "ld_text", "copy", "mix_key", "nj_key")})
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 """Classifier, nearest neighbours and the pipeline."""
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -35,7 +36,8 @@ def test_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = quality.train(docs, labels)
-    rows = quality.classify(docs, model).join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").where(quality.held_out()).select("quality.score", "quality.predicted", "y").collect()
+    scored, q = quality.classify(docs, model)
+    rows = scored.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").where(quality.held_out()).select(f"{q}.score", f"{q}.predicted", "y").collect()
     good, bad = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
     assert np.mean([g > b for g in good for b in bad]) > 0.95
     assert np.mean([r.predicted == r.y for r in rows]) > 0.9
@@ -43,12 +45,87 @@ def test_classifier_held_out(spark):
 
 def test_classifier_on_odd_rows(spark, odd, empty):
     none = quality.train(odd, spark.createDataFrame([], "doc_id long, quality int"))
-    rows = quality.classify(odd, none).collect()
-    assert len(rows) == odd.count() and all(r.quality.score == 0.5 for r in rows)
+    scored, q = quality.classify(odd, none)
+    rows = scored.collect()
+    assert q not in odd.columns and scored.columns == [*odd.columns, q]
+    assert len(rows) == odd.count() and all(r[q].score == 0.5 and r.quality == r.score == "x" for r in rows)
     labels = spark.createDataFrame([(1, 1), (4, 0), (9, 1), (None, 1), (7, None), (8, 3)], "doc_id long, quality int")
-    rows = quality.classify(odd, quality.train(odd, labels)).collect()
-    assert len(rows) == odd.count() and all(0 <= r.quality.score <= 1 for r in rows)
-    assert quality.classify(empty, none).count() == 0
+    rows = quality.classify(odd, quality.train(odd, labels))[0].collect()
+    assert len(rows) == odd.count() and all(0 <= r[q].score <= 1 for r in rows)
+    assert quality.classify(empty, none)[0].count() == 0
+
+
+def test_sample_is_of_rows_that_qualify(spark, monkeypatch):
+    """Long texts don't make the sample smaller, and it has its bounds."""
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 3 else 5000)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y, **_: seen.append([len(t) for t in texts]))
+    quality.train(docs, labels, sample_rows=100, sample_bytes=1000)
+    quality.train(docs, labels, sample_rows=10_000, sample_bytes=1000)
+    free = sum(zlib.crc32(str(i).encode()) % 5 != 0 and i % 3 != 0 for i in range(300))
+    assert seen == [[50] * 100, [50] * free]
+
+
+def plain_score(model, text):
+    """One text's probability, byte by byte."""
+    step, logits = quality.CHUNK - quality.OVERLAP, []
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(text):
+        starts.append(starts[-1] + step)
+    for at in starts:
+        logit = 0.0
+        for f in range(quality.FILTERS):
+            best = -np.inf
+            for w in range(quality.WINDOWS):
+                total = float(model.bias[f])
+                for j in range(quality.WIDTH):
+                    i = at + w * quality.STEP + j
+                    total += float(model.tables[j, text[i] if i < len(text) else 0, f])
+                best = max(best, total)
+            logit += max(best, 0.0) * float(model.weight[f])
+        logits.append(logit)
+    x = float(np.dot([np.mean(logits), min(logits), max(logits)], model.combine)) + model.offset
+    return 1 / (1 + np.exp(-x))
+
+
+def random_model(rng):
+    return quality.Model(
+        rng.normal(0, 0.2, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.1, quality.FILTERS).astype(np.float32),
+        rng.normal(0, 0.2, quality.FILTERS).astype(np.float32), np.array([0.4, 0.3, 0.3], np.float32), 0.1)
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(1)
+    model = random_model(rng)
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 8, 511, 512, 513, 960, 1300)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = quality.score_slice(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert got == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_first_step_follows_the_numeric_gradient():
+    """Adam's first step goes against the sign of each parameter's gradient; compared with differences of the log loss."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (300, 700, 900, 100)]
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+    before = quality.fit(texts, labels, epochs=0, decay=0.0)
+    after = quality.fit(texts, labels, epochs=1, batch=4, decay=0.0)
+
+    def loss(model):
+        p = np.array([plain_score(model, t) for t in texts])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    tried = 0
+    for f in range(0, quality.FILTERS, 5):
+        for name in ("bias", "weight"):
+            old, new = getattr(before, name)[f], getattr(after, name)[f]
+            up, down = (before._replace(**{name: np.where(np.arange(quality.FILTERS) == f, old + d, getattr(before, name)).astype(np.float64)}) for d in (1e-3, -1e-3))
+            slope = (loss(up) - loss(down)) / 2e-3
+            if abs(slope) > 1e-4:
+                assert np.sign(new - old) == -np.sign(slope), (name, f, slope)
+                tried += 1
+    assert tried >= 4
 
 
 def recall(vectors, queries, found, k=20):

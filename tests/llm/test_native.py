@@ -49,16 +49,19 @@ def test_rates_fill_by_weight(spark):
 
 def test_mix(spark, odd, empty):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 20 as int))").alias("text"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"))
-    rows = mixing.take(docs, mixing.n_words()).collect()
+    taken, m = mixing.take(docs, mixing.n_words())
+    rows = taken.collect()
     for s in {r.source for r in rows}:
-        own = [r.mix for r in rows if r.source == s]
+        own = [r[m] for r in rows if r.source == s]
         assert sum(m.size * m.copies for m in own) == pytest.approx(own[0].target, rel=0.1)
         assert all(m.copies in (int(m.rate), int(m.rate) + 1) and m.copies <= 2 for m in own)
     out = mixing.mix(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.mix.copies for r in rows)
-    assert {r.doc_id: r.copies for r in mixing.take(docs.repartition(7), mixing.n_words()).select("doc_id", "mix.copies").collect()} == {r.doc_id: r.mix.copies for r in rows}
-    assert mixing.take(odd, mixing.n_words()).count() == odd.count()
-    assert mixing.take(empty, mixing.n_words()).count() == 0 and mixing.mix(empty).count() == 0
+    assert out.columns == docs.columns and out.count() == sum(r[m].copies for r in rows)
+    assert {r.doc_id: r.copies for r in mixing.take(docs.repartition(7), mixing.n_words())[0].select("doc_id", f"{m}.copies").collect()} == {r.doc_id: r[m].copies for r in rows}
+    mixed, m = mixing.take(odd, mixing.n_words())
+    assert mixed.columns == [*odd.columns, m] and sorted(map(str, mixed.drop(m).collect())) == sorted(map(str, odd.collect()))
+    assert mixing.mix(odd).columns == odd.columns and all(r.mix == r.copy == r.mix_key == "x" for r in mixing.mix(odd).collect())
+    assert mixing.take(empty, mixing.n_words())[0].count() == 0 and mixing.mix(empty).count() == 0
 
 
 SECRET = "x AKIA" + "A" * 16 + "\nTOKEN = 'abcdef12' secret: token: abcdefgh " + "deadbeef" * 3 + " 🎉 password=hi api-key=ABCDEFGH ApiKey:\"zzzzzz\""
@@ -97,17 +100,17 @@ def plain_dedup(docs):
 
 
 def test_line_dedup(spark, odd, empty):
-    rows = linededup.dedup(odd)
-    assert rows.columns == [*odd.columns, "deduped"]
-    got = Counter((r.doc_id, (r.deduped.n_lines, r.deduped.n_dropped, r.deduped.text)) for r in rows.collect())
+    rows, d = linededup.dedup(odd)
+    assert d not in odd.columns and rows.columns == [*odd.columns, d] and sorted(map(str, rows.drop(d).collect())) == sorted(map(str, odd.collect()))
+    got = Counter((r.doc_id, (r[d].n_lines, r[d].n_dropped, r[d].text)) for r in rows.collect())
     assert got == plain_dedup([(r.doc_id, r.text) for r in odd.collect()])
-    assert linededup.dedup(empty).count() == 0
+    assert linededup.dedup(empty)[0].count() == 0
 
 
 def test_line_dedup_hot_line_and_many_lines(spark):
     docs = [(i, "\n".join(["a line that all of them share", *(f"own line {i} {j} abcdef" for j in range(i % 5)), "A Line That all of them share ", f"x{i}"] + ["pad pad pad pad"] * (150 if i == 3 else 0))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    got = Counter((r.doc_id, (r.deduped.n_lines, r.deduped.n_dropped, r.deduped.text)) for r in linededup.dedup(df).collect())
+    got = Counter((r.doc_id, (r.deduped.n_lines, r.deduped.n_dropped, r.deduped.text)) for r in linededup.dedup(df)[0].collect())
     assert got == plain_dedup(docs)
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.textkit import free_name
 from tidewell.llm.workdir import materialise
 
 _LAST = (1 << 63) - 1
@@ -65,8 +66,15 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, groups: int = 64, id_col: str
     return word.groupBy("ld_id", "ld_text").agg(F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("lost").alias("bits")))).alias("keep"))
 
 
-def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with struct ``deduped``: text (kept lines joined by a newline), n_lines, n_dropped."""
+def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct (text: kept lines joined by a newline, n_lines, n_dropped), and that column's name, which no other has."""
+    name, row = free_name(docs, "deduped"), free_name(docs, "ld_row")
+    # The rows as they came are one struct from here, so their names can't meet those of this join.
+    found = _apply(docs.select(F.struct(*docs.columns).alias(row), *_identified(docs, id_col, text_col)), bitmaps, f"{row}.`{text_col}`")
+    return found.select(*(F.col(row)[c].alias(c) for c in docs.columns), F.col("ld_result").alias(name)), name
+
+
+def _apply(docs: DataFrame, bitmaps: DataFrame, text_col: str) -> DataFrame:
     lines = lines_of(F.col(text_col))
     dropped = F.aggregate(F.col("ld_keep"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(F.bitwise_not(w["bits"])))
     # Dense words up to the last one that drops a line, so each line finds its bit by index.
@@ -74,14 +82,13 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
     text = F.when(F.col("ld_keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
         F.array_join(F.expr(f"filter(split(coalesce({text_col}, ''), '\\n', -1), (x, i) -> coalesce(getbit(get(ld_bits, i div 64), i % 64), 1) = 1)"), "\n"))
     return (
-        docs.select("*", *_identified(docs, id_col, text_col)).join(bitmaps.withColumnRenamed("keep", "ld_keep"), ["ld_id", "ld_text"], "left")
+        docs.join(bitmaps.withColumnRenamed("keep", "ld_keep"), ["ld_id", "ld_text"], "left")
         .withColumn("ld_bits", F.when(F.col("ld_keep").isNotNull(), dense))
-        .withColumn("deduped", F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")))
-        .select(*docs.columns, "deduped")
+        .withColumn("ld_result", F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")))
     )
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its struct ``deduped``."""
+def dedup(docs: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``docs`` with the result struct beside its columns, and the struct's name."""
     names = {k: options[k] for k in ("id_col", "text_col") if k in options}
     return apply(docs, keep_bitmaps(docs, **options), **names)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.textkit import free_name
+
 WORD = "[^ \\\\t-\\\\r]+"
 
 
@@ -63,28 +65,30 @@ def uniform(id_col: str, seed: str) -> Column:
 
 
 def take(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
-         seed: str = "mix-0", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with one struct column ``mix``: size, source_size, target, rate, copies.
+         seed: str = "mix-0", id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct (size, source_size, target, rate, copies), and that column's name, which no other has.
 
     The rates are joined by source with no broadcast hint: Spark broadcasts
     them after measuring, and otherwise splits a hot source's partition.
     """
     sizes = docs.select(F.col(source_col).alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
-    r = rates(sizes, weights, share, cap).select(key(F.col("source")).alias("__mix_key"), F.struct("source_size", "target", "rate").alias("__mix_rate"))
-    rate = F.col("__mix_rate.rate")
+    name, own_key, own_rate, own_size = (free_name(docs, f"mix{c}") for c in ("", "_key", "_rate", "_size"))
+    r = rates(sizes, weights, share, cap).select(key(F.col("source")).alias(own_key), F.struct("source_size", "target", "rate").alias(own_rate))
+    rate = F.col(own_rate)["rate"]
     copies = (F.floor(rate) + F.when(uniform(id_col, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    mix = F.struct(F.col("__mix_size").alias("size"), F.col("__mix_rate.source_size").alias("source_size"), F.col("__mix_rate.target").alias("target"), rate.alias("rate"), copies.alias("copies"))
+    mix = F.struct(F.col(own_size).alias("size"), F.col(own_rate)["source_size"].alias("source_size"), F.col(own_rate)["target"].alias("target"), rate.alias("rate"), copies.alias("copies"))
     return (
-        docs.withColumn("__mix_size", size)
-        .withColumn("__mix_key", key(F.col(source_col)))
-        .join(r, "__mix_key")
-        .withColumn("mix", mix)
-        .drop("__mix_key", "__mix_rate", "__mix_size")
-    )
+        docs.withColumn(own_size, size)
+        .withColumn(own_key, key(F.col(source_col)))
+        .join(r, own_key)
+        .withColumn(name, mix)
+        .drop(own_key, own_rate, own_size)
+    ), name
 
 
 def mix(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
     """The mixture itself: each document as often as it is taken, in the input's columns."""
-    taken = take(docs, n_words() if size is None else size, **options)
-    return taken.where("mix.copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
+    taken, name = take(docs, n_words() if size is None else size, **options)
+    copies = F.col(name)["copies"]
+    return taken.where(copies > 0).withColumn(free_name(taken, "copy"), F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

@@ -6,6 +6,14 @@ packed pieces.
 
 Rows that repeat after mixing are packed each, so a document taken twice has
 its pieces twice.
+
+Defined cases, alike in every stage: null text is treated as empty (and stays
+null, unless a stage writes texts and its lines change); a null id is kept as a
+document of its own; very long texts are read whole; ties go by the smallest id,
+then by the text; rows that repeat are decided alike, but of near duplicates,
+repeated rows included, one stays; an empty table gives an empty table; columns
+of other names, whatever they are, pass through untouched (packing returns its
+own columns only).
 """
 
 from __future__ import annotations
@@ -14,46 +22,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import linededup, mixing, ngramjoin, packing, quality
-from tidewell.llm.workdir import materialise, purge
+from tidewell.llm.workdir import materialise, scope
 
-#: The classifier and the packing plan aren't SQL; the tests run the stages against plain Python.
+#: The classifier and the packing plan aren't SQL; the tests compare every stage's rows with plain Python.
 ORACLE_SQL = None
 
 
+#: A stage's scratch tables go when the next stage begins, since by then its rows are written out.
+_RUN = "pipeline"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
-    purge(spark)  # the stages before are written out, so what they kept in the shared folder can go
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model).where("quality.predicted = 1").select(*docs.columns)
+    """Drops the documents that the classifier rejects. Empty and null texts are scored like others."""
+    with scope(spark, _RUN):
+        model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        scored, name = quality.classify(docs, model)
+        return scored.where(F.col(name)["predicted"] == 1).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document has; ``n_chars`` follows the text."""
-    purge(spark)
-    deduped = linededup.dedup(docs)
-    text = F.when(F.col("deduped.n_dropped") > 0, F.col("deduped.text")).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("deduped.n_dropped") > 0, F.length("deduped.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return deduped.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Texts without lines that an earlier document has; ``n_chars`` follows the text where lines went.
+
+    A document without lost lines keeps its row as it is, a null text included.
+    """
+    with scope(spark, _RUN):
+        deduped, name = linededup.dedup(docs)
+        result = F.col(name)
+        lost = result["n_dropped"] > 0
+        new = {"text": F.when(lost, result["text"]).otherwise(F.col("text"))}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(lost, F.length(result["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        return deduped.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    purge(spark)
-    return ngramjoin.keep_one(docs)
+    """One document of each group of near duplicates: the one with the smallest id. Texts without words all stay."""
+    with scope(spark, _RUN):
+        return ngramjoin.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their source's target weight."""
-    purge(spark)
-    return mixing.mix(docs)
+    """Documents repeated to their source's target weight. A null source is one source; sources without words go."""
+    with scope(spark, _RUN):
+        return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 2048."""
+    """Pieces of token sequences of at most 2048; an empty or null text is the end token alone."""
     import public_tokenizers
 
-    purge(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with scope(spark, _RUN):
+        return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

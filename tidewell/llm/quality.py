@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidewell.llm.textkit import slices
+from tidewell.llm.textkit import free_name, slices
 
 CHUNK, OVERLAP, WIDTH, STEP, FILTERS = 512, 64, 8, 4, 24
 WINDOWS = CHUNK // STEP
@@ -141,12 +141,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 3000, sample_bytes: int = 1 << 16,
           id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out: the bounds of what reaches the driver."""
-    picked = (
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, of texts of at most ``sample_bytes``: the bounds of what reaches the driver.
+
+    Of all rows that qualify those with the lowest hashes are taken, so long texts don't make the sample smaller.
+    """
+    wanted = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-        .where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+        .where(~held_out("id"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    fitting = texts.select("id", F.octet_length("text").alias("size")).where(F.col("size") <= sample_bytes).select("id").distinct()
+    picked = wanted.join(fitting, "id").orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    texts = texts.where(F.octet_length("text") <= sample_bytes)
     rows = texts.join(F.broadcast(picked), "id").orderBy("id", "text", "label").limit(sample_rows).select("text", "label").toArrow()
     return fit([t.encode() for t in rows.column("text").to_pylist()], np.asarray(rows.column("label"), np.float64), **options)
 
@@ -160,6 +166,8 @@ def score(model: Model, text: Column) -> Column:
     return F.arrow_udf(run, DoubleType())(text)
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct ``quality``: score, predicted (1 if score >= threshold)."""
-    return docs.withColumn("__score", score(model, F.col(text_col))).withColumn("quality", F.struct(F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))).drop("__score")
+def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct (score, predicted: 1 if score >= threshold), and that column's name, which no other has."""
+    name, raw = free_name(docs, "quality"), free_name(docs, "score")
+    result = F.struct(F.col(raw).alias("score"), (F.col(raw) >= threshold).cast("int").alias("predicted"))
+    return docs.withColumn(raw, score(model, F.col(text_col))).withColumn(name, result).drop(raw), name

@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).select("doc_id", quality.held_out().alias("held_out"), "quality.score", "quality.predicted")
+    scored, result = quality.classify(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), f"{result}.score", f"{result}.predicted")
 
 
 def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,9 @@ def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    taken = mixing.take(docs, mixing.n_words())
-    return taken.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    mixed, result = mixing.take(docs, mixing.n_words())
+    taken = (F.col(result)["size"] * F.col(result)["copies"]).alias("taken")
+    return mixed.select("doc_id", f"{result}.size", f"{result}.source_size", f"{result}.target", taken)
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,8 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup(docs).select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
+    deduped, result = linededup.dedup(docs)
+    return deduped.select("doc_id", f"{result}.n_lines", f"{result}.n_dropped", F.sha2(F.col(result)["text"], 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,12 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 _MUL = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, or that with underscores in front, such that no column has it (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while wish in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit numbers (splitmix)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
