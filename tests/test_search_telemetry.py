@@ -47,15 +47,21 @@ def test_buckets_and_percentiles(spark):
     assert got == {v: min(127, math.floor(math.log2(max(v, 1)) * 4)) for v in values}
     p = T.bucket_percentile(T.histogram(df, F.col("v")), 0.5).first().ms
     assert p == pytest.approx(2 ** ((got[5] + 1) / 4) / 1000)
-    assert T.bucket_percentile(T.histogram(df.limit(0), F.col("v")), 0.5).count() == 0
+    assert [r.ms for r in T.bucket_percentile(T.histogram(df.limit(0), F.col("v")), 0.5).collect()] == [0.0]
 
 
 def test_counters(spark):
     a = spark.createDataFrame([("x", 5, 1), ("y", 9, 9), ("z", 1, 1)], "instance string, gets long, mib long")
     b = spark.createDataFrame([("x", 8, 2), ("y", 3, 10), ("w", 1, 1)], "instance string, gets long, mib long")
     assert [tuple(r) for r in T.counter_diff(a, b, ["gets", "mib"]).collect()] == [("x", 3, 1)]
-    lines = spark.createDataFrame([(T.stats_line(12.5, 7, "ab-12"),), ("nothing",)], "l string")
-    assert [r.s and tuple(r.s) for r in lines.select(T.parse_stats(F.col("l")).alias("s")).collect()] == [(12.5, 7, "ab-12"), None]
+    reads = spark.createDataFrame([(1000, 500, 900), (9 << 20, 2000, 70_000), (70 << 10, 500, 900)], "size long, ttfb long, total long")
+    line = T.stats_lines(reads, F.col("size"), F.col("ttfb"), F.col("total"), "ab-12", pid=7, parts=3, wait_us=1500)
+    assert line.first().line.startswith(
+        "perf: pid=7 instance=ab-12 spans=[<64K:1 <512K:1 <2M:0 <8M:0 >=8M:1] small n=2 ttfb=1ms total=2ms | stream n=1 ttfb=2ms total=70ms | parts=3 wait(sum)=2ms | served=9MiB | get p50=")
+    none = T.stats_lines(reads.limit(0), F.col("size"), F.col("ttfb"), F.col("total"), "x")
+    assert none.first().line.endswith("| served=0MiB | get p50=0.0ms p95=0.0ms p99=0.0ms")
+    lines = line.union(none).union(spark.createDataFrame([("nothing",)], "line string"))
+    assert [r.s and tuple(r.s) for r in lines.select(T.parse_stats(F.col("line")).alias("s")).collect()] == [(9, 3, "ab-12"), (0, 0, "x"), None]
 
 
 def test_expiry_budget_bounds(spark):

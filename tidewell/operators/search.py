@@ -151,12 +151,12 @@ def run(df: DataFrame, queries: dict[str, Query], path: str, spans: list[tuple[i
     return out
 
 
-# The log corpus.
+# The log corpus. The order of the draws in ``corpus`` belongs to them, as it decides each document.
 SERVICES = ("checkout", "cart", "search", "auth", "payments")
 SEVERITIES = ("ERROR", "WARN", "INFO", "DEBUG")
 WEIGHTS = (1, 2, 5, 2)
 HOSTS = ("web-03", "web-07", "web-11", "api-02")
-MESSAGES = ("request completed", "timeout after 100ms", "cache miss", "connection reset by peer")
+MESSAGES = ("timeout after 100ms", "connection reset", "upstream slow", "all good")
 EPOCH = 1727240000
 
 

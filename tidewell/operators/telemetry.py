@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +34,15 @@ def histogram(df: DataFrame, us: Column, by: list[str] | None = None) -> DataFra
 
 
 def bucket_percentile(hist: DataFrame, p: float, by: list[str] | None = None) -> DataFrame:
-    """First bucket whose cumulative count reaches ceil(total * p), as its upper edge; at most 128 rows a group are windowed."""
+    """First bucket whose cumulative count reaches ceil(total * p), as its upper edge; at most 128 rows a group are windowed.
+
+    Without ``by`` there is one row, 0 if the histogram is empty.
+    """
     by = by or []
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     cum = hist.withColumn("cum", F.sum("n").over(part.orderBy("bucket"))).withColumn("total", F.sum("n").over(part))
     reached = cum.where(F.col("cum") >= F.ceil(F.col("total") * p))
-    return reached.groupBy(*by).agg(F.min("bucket").alias("bucket")).select(*by, bucket_value_ms(F.col("bucket")).alias("ms"))
+    return reached.groupBy(*by).agg(F.min("bucket").alias("bucket")).select(*by, F.coalesce(bucket_value_ms(F.col("bucket")), F.lit(0.0)).alias("ms"))
 
 
 def percentile_floor(x: Column, p: float) -> Column:
@@ -81,16 +84,40 @@ def counter_diff(before: DataFrame, after: DataFrame, counters: list[str], insta
     return diff.where(" and ".join(f"{c} >= 0" for c in counters))
 
 
-STATS_LINE = r"served ([0-9.]+) MiB in ([0-9]+) GETs .*instance ([0-9a-f-]+)"
+# The telemetry line, and what is read from it.
+STATS_FORMAT = (
+    "perf: pid={pid} instance={instance} spans=[<64K:{s0} <512K:{s1} <2M:{s2} <8M:{s3} >=8M:{s4}]"
+    " small n={small_n} ttfb={small_ttfb:.0f}ms total={small_total:.0f}ms | stream n={stream_n} ttfb={stream_ttfb:.0f}ms total={stream_total:.0f}ms"
+    " | parts={parts} wait(sum)={wait:.0f}ms | served={served}MiB | get p50={p50:.1f}ms p95={p95:.1f}ms p99={p99:.1f}ms"
+)
+STATS_LINE = r"instance=([^ ]+).*small n=(\d+) .*\| stream n=(\d+) .* served=(\d+)MiB"
 
 
 def parse_stats(line: Column) -> Column:
-    """Struct (mib, gets, instance) of a telemetry line, null if it is none."""
+    """Struct (mib, gets, instance) of a telemetry line, null if it is none; gets are those of both classes."""
     part = lambda i: F.regexp_extract(line, STATS_LINE, i)
-    return F.when(line.rlike(STATS_LINE), F.struct(part(1).cast("double").alias("mib"), part(2).cast("long").alias("gets"), part(3).alias("instance")))
-
-
-def stats_line(mib: float, gets: int, instance: str) -> str:
-    line = f"served {mib:.1f} MiB in {gets} GETs, instance {instance}"
-    assert re.search(STATS_LINE, line)
-    return line
+    gets = part(2).cast("long") + part(3).cast("long")
+    return F.when(line.rlike(STATS_LINE), F.struct(part(4).cast("long").alias("mib"), gets.alias("gets"), part(1).alias("instance")))
+
+
+def stats_lines(reads: DataFrame, size: Column, ttfb: Column, total: Column, instance: str, pid: int = 0, parts: int = 0, wait_us: int = 0) -> DataFrame:
+    """One row (line): the telemetry line of reads with sizes in bytes and times in microseconds.
+
+    Empty input gives the line with zeros.
+    """
+    kind = F.when(size <= 8 * MIB, "small").otherwise("stream")
+    ms = lambda c, k: F.coalesce(F.sum(F.when(kind == k, c)) / 1000, F.lit(0.0))
+    spans = [F.count(F.when(span_class(size) == name, 1)).alias(f"s{i}") for i, name in enumerate((*(n for _, n in SPANS), ">=8M"))]
+    sums = [x.alias(f"{k}_{n}") for k in ("small", "stream") for n, x in (("n", F.count(F.when(kind == k, 1))), ("ttfb", ms(ttfb, k)), ("total", ms(total, k)))]
+    totals = reads.agg(*spans, *sums, F.floor(F.coalesce(F.sum(size), F.lit(0)) / MIB).cast("long").alias("served"))
+    hist = histogram(reads, total)
+    for p in (50, 95, 99):
+        totals = totals.crossJoin(F.broadcast(bucket_percentile(hist, p / 100).withColumnRenamed("ms", f"p{p}")))  # one row by one row
+    given = {"pid": F.lit(pid), "instance": F.lit(instance), "parts": F.lit(parts), "wait": F.lit(wait_us / 1000)}
+    pieces = []
+    for text, name, form, _ in Formatter().parse(STATS_FORMAT):
+        pieces.append(F.lit(text))
+        if name:
+            value = given.get(name, F.col(name))
+            pieces.append(F.format_string(f"%{form}", value.cast("double")) if form else value.cast("string"))
+    return totals.select(F.concat(*pieces).alias("line"))

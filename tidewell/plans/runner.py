@@ -34,20 +34,24 @@ class QueryTimeout(Exception):
 
 def run_one(spark: SparkSession, query: Callable[[], DataFrame], timeout: float | None = None) -> tuple[int, float]:
     """(rows, seconds) of one query run to its end; its jobs are cancelled after ``timeout`` seconds."""
-    tag, late = f"q-{uuid.uuid4().hex}", threading.Event()
+    context, tag, late = spark.sparkContext, f"q-{uuid.uuid4().hex}", threading.Event()
 
     def stop():
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)  # a session's own tags belong to the thread that added them
 
     timer = threading.Timer(timeout, stop) if timeout else None
-    spark.addTag(tag)
+    context.addJobTag(tag)
     began = time.perf_counter()
     try:
         if timer:
             timer.start()
         rows = len(query().collect())
+        if late.is_set():  # between two jobs there was nothing to cancel
+            raise QueryTimeout(f"more than {timeout} s")
         return rows, time.perf_counter() - began
+    except QueryTimeout:
+        raise
     except Exception as e:
         if late.is_set():
             raise QueryTimeout(f"more than {timeout} s") from e
@@ -55,7 +59,7 @@ def run_one(spark: SparkSession, query: Callable[[], DataFrame], timeout: float
     finally:
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def run_passes(spark: SparkSession, queries: dict[str, Callable[[SparkSession, str], DataFrame]], sf_dir: str, passes: int = 2, timeout: float | None = None) -> list[dict]:

@@ -27,6 +27,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +124,11 @@ class ObjectStore:
         self._fs = self._path("").getFileSystem(self._conf)
         marker = self._path("layout.json")
         if self._fs.exists(marker):
-            if json.loads(self._read_text(marker))["version"] != LAYOUT_VERSION:
+            try:
+                version = json.loads(self._read_text(marker))["version"]
+            except (Py4JJavaError, ValueError, KeyError, TypeError) as e:
+                raise StoreError("the store's layout marker can't be read") from e
+            if version != LAYOUT_VERSION:
                 raise StoreError("the store has another layout version")
         elif self._fs.exists(self._path("chunks")) or self._fs.exists(self._path("log")):
             raise StoreError("the store has data but no layout marker")
