@@ -50,7 +50,7 @@ are ignored.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,7 +222,7 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Rows (node, tokens), one for each row (node, rep) of ``owners``, from the row of ``docs`` (id, text) with id ``rep``.
+    """Rows (node, tokens, hot), one for each row (node, rep, hot) of ``owners``, from the row of ``docs`` (id, text) with id ``rep``.
 
     A bit table of the wanted rows, of fixed size, keeps most others in the scan; the join leaves out the rest.
     """
@@ -242,7 +242,7 @@ def token_sets(docs: DataFrame, owners: DataFrame) -> DataFrame:
                 yield pa.record_batch({"node": pa.array(node), "rep": pa.array(ids[a:b]), "tokens": own}).filter(pa.array(kept))
 
     found = docs.select(F.coalesce("id", F.lit(_LAST)).alias("rep"), "text").mapInArrow(run, "node long, rep long, tokens array<long>")
-    return found.join(owners, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return found.join(owners, ["node", "rep"]).groupBy("node", "rep").agg(F.first("tokens").alias("tokens"), F.first("hot").alias("hot")).drop("rep")
 
 
 class _Forest(dict):
@@ -357,7 +357,8 @@ def hot_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         """The groups that lie in several components so far, and the number of blocks of each."""
         own = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = own.groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        return own.join(apart.select("lead", "parts"), "lead")
+        # Written, so that a large group's rows needn't stay together for what comes next.
+        return materialise(own.join(apart.select("lead", "parts"), "lead"), "groups-apart")
 
     def compared(blocks: DataFrame, keys: list[str]) -> DataFrame:
         return blocks.join(sets, "node").groupBy(*keys).applyInArrow(_block_links, "u long, v long")
@@ -366,12 +367,14 @@ def hot_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
         own = placed()
         if turn:  # a group of one block is done
             own = own.where("parts > 1")
+            if own.isEmpty():
+                break
         if turn < 2:
             blocks = own.select("lead", "node", "root", deal("parts", turn).alias("xb"), F.lit(True).alias("x"), F.lit(True).alias("y"))
             found = compared(blocks, ["lead", "xb"])
         else:
             largest = own.groupBy("lead", "root").agg(F.count("*").alias("k")).groupBy("lead").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
-            own = own.join(largest, "lead").withColumn("out", F.col("root") != F.col("most"))
+            own = materialise(own.join(largest, "lead").withColumn("out", F.col("root") != F.col("most")), "groups-split")
             few = own.where("out").groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("x_parts"))
             own = own.join(few, "lead")
             every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -398,15 +401,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     near = Window.partitionBy("sig", "salt")
     rows = signatures(slim, frequent_cells(slim)).withColumn("lo", F.min("node").over(near)).withColumn("hi", F.max("node").over(near))
     rows = materialise(rows.where("lo < hi or salt > 0").select("sig", "node", "n").distinct(), "signatures")
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("lead")))
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("g"), first.alias("first")).where("g > 1").select("sig", "g", "first.lead")
+    sizes = materialise(rows.groupBy("sig").agg(F.count("*").alias("g")).where("g > 1"), "signature-sizes")
     pairs = materialise(rare_pairs(rows.join(sizes.where(F.col("g") <= RARE).select("sig"), "sig")), "pairs")
-    hot = materialise(rows.join(sizes.where(F.col("g") > RARE).select("sig", "lead"), "sig").select("lead", "node", "n").distinct(), "groups")
+    hot = materialise(rows.join(sizes.where(F.col("g") > RARE).select("sig"), "sig"), "signatures-hot")
+    leads = hot.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("lead"))).alias("first")).select("sig", "first.lead")
+    hot = materialise(hot.join(leads, "sig").select("lead", "node", "n").distinct(), "groups")
 
-    wanted = functools.reduce(DataFrame.unionByName, (pairs.select(F.col("u").alias("node")), pairs.select(F.col("v").alias("node")), hot.select("node"))).distinct()
-    owners = own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(wanted, "node", "left_semi")
+    ends = [pairs.select(F.col(c).alias("node"), F.lit(False).alias("hot")) for c in "uv"]
+    wanted = hot.select("node", F.lit(True).alias("hot")).unionByName(ends[0]).unionByName(ends[1]).groupBy("node").agg(F.max("hot").alias("hot"))
+    owners = own.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("rep")).join(wanted, "node")
     sets = materialise(token_sets(slim, materialise(owners, "set-owners")), "token-sets")
-    roots = components(materialise(verify(pairs, sets), "links-found").unionByName(hot_links(hot, sets)))
+    roots = components(materialise(verify(pairs, sets), "links-found").unionByName(hot_links(hot, sets.where("hot").drop("hot"))))
     return own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("id", "n", "node", "root")
 
 
@@ -430,26 +435,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one stays, also where the id is null. Rows with a null id join by the hash of
     their text.
     """
+    mark, docs_columns = f"nj_{uuid.uuid4().hex[:8]}", docs.columns
+    key, row, one, again = (f"{mark}_{c}" for c in ("key", "row", "one", "again"))
     lost, worded = F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
     known = docs.where(~lost)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    nulls = docs.where(lost & worded).groupBy(F.xxhash64(text_col).alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row"))
+    nulls = docs.where(lost & worded).groupBy(F.xxhash64(text_col).alias(key)).agg(F.min_by(F.struct(*docs_columns), F.xxhash64(*plain)).alias(row))
     nulls = materialise(nulls, "null-ids")
     found = linked(
         known.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .unionByName(nulls.select(F.col("__key").alias("id"), F.col("__row")[text_col].alias("text"))), "id")
-    found = found.join(nulls.select(F.col("__key").alias("id"), F.lit(True).alias("lost")), "id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+        .unionByName(nulls.select(F.col(key).alias("id"), F.col(row)[text_col].alias("text"))), "id", "text")
+    found = found.join(nulls.select(F.col(key).alias("id"), F.lit(True).alias("lost")), "id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     best = found.where("node <> 0").groupBy("root").agg(F.min(F.struct("lost", "id")).alias("best"))
     keep = (
         found.join(best, "root", "left").where((F.struct("lost", "id") == F.col("best")) | (F.col("n") == 0))
-        .groupBy("lost", F.col("id").alias("__keep")).agg(F.max(F.col("n") > 0).alias("__one"))
+        .groupBy("lost", F.col("id").alias(key)).agg(F.max(F.col("n") > 0).alias(one))
     )
     # The window reuses the join's partitioning.
-    again = F.row_number().over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col)))
-    repeat = F.lag(F.xxhash64(text_col)).over(Window.partitionBy("__keep").orderBy(F.xxhash64(text_col))).eqNullSafe(F.xxhash64(text_col))
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text_col))
+    repeat = F.lag(F.xxhash64(text_col)).over(order).eqNullSafe(F.xxhash64(text_col)) & (F.row_number().over(order) > 1)
     kept = (
-        known.withColumn("__keep", F.col(id_col).cast("long")).join(keep.where("not lost").drop("lost"), "__keep")
-        .withColumn("__again", F.col("__one") & repeat & (again > 1)).where("not __again").select(*docs.columns)
+        known.withColumn(key, F.col(id_col).cast("long")).join(keep.where("not lost").drop("lost"), key)
+        .withColumn(again, F.col(one) & repeat).where(~F.col(again)).select(*docs_columns)
     )
-    chosen = nulls.join(keep.where("lost").select(F.col("__keep").alias("__key")), "__key", "left_semi").select("__row.*")
+    chosen = nulls.join(keep.where("lost").select(key), key, "left_semi").select(F.col(f"{row}.*"))
     return kept.unionByName(chosen).unionByName(docs.where(lost & ~worded))
