@@ -15,11 +15,11 @@ added.
 
 Tokens: this tokenizer drops white space, never joins across it and lower-cases,
 so a text's ids are its words' ids in order. Words are split as bytes, A-Z
-lower-cased, and their ids kept in a bounded cache per worker; a word that ends in
-punctuation after an ASCII letter is two words, as the tokenizer itself splits
-there. Other letters may normalise to one with a combining mark, which goes with
-the punctuation, so those words are encoded whole. Texts with the opening of a
-special token, which is matched before lower-casing, keep their case.
+lower-cased, and their ids kept in a bounded cache per worker. What a group of
+texts has of new words is encoded as one text, a word a line; each id's place
+says whose it is. A word with the opening of a special token, which is matched
+before lower-casing, is encoded alone, and its text keeps its case. A tokenizer
+with another normalizer is refused.
 
 Defined cases: null or empty text is the end token alone; null ids are kept;
 repeated rows are packed each; an empty table gives no rows; other columns are
@@ -28,6 +28,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import zlib
@@ -42,32 +43,57 @@ from tidewell.llm.workdir import materialise
 
 UNIT = 8
 PER_SALT, MOST_SALTS = 1_000, 4096
-CACHE_WORDS = 1_000_000
-_TAIL = b".,!?;:#$%&*"
+#: Bytes of a worker's cache of words, about, and of a group of texts whose new words are encoded together.
+CACHE_BYTES, GROUP_BYTES, _ENTRY = 48 << 20, 1 << 18, 200
+# The normalizer under which words can be encoded apart.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
 
 
 class _Words(dict):
-    """Ids of words as little-endian 32-bit bytes, from the tokenizer when first met."""
+    """Ids of words as little-endian 32-bit bytes; a group of texts' new words go to the tokenizer as one text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.held = Tokenizer.from_file(path), 0
+        if json.loads(self.tokenizer.to_str())["normalizer"] != NORMALIZER:
+            raise ValueError(f"words of {path} can't be encoded one by one: its normalizer is another")
 
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(_TAIL)
-        if stem and len(stem) < len(word) and b"<|" not in word and b"a" <= stem[-1:] <= b"z":
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids_of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+    def _learn(self, words: set[bytes]) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        plain = [w.decode() for w in words if b"<|" not in w]
+        starts = np.cumsum([0, *(len(w) + 1 for w in plain)])
+        found = self.tokenizer.encode("\n".join(plain), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts).tolist()
+        self.update((w.encode(), ids[x:y].tobytes()) for w, x, y in zip(plain, cuts, cuts[1:]))
+        self.update((w, self._alone(w)) for w in words if b"<|" in w)
+        self.held += sum(len(w) + len(self[w]) + _ENTRY for w in words)
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        out, at = [], 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and (not lists or size + len(texts[at]) <= GROUP_BYTES):
+                size += len(texts[at])
+                lists.append((texts[at] if b"<|" in texts[at] else texts[at].lower()).split())
+                at += 1
+            words = set().union(*lists)
+            if new := words.difference(self):
+                if self.held > CACHE_BYTES:  # all goes, also what this group has met before
+                    new = words
+                self._learn(new)
+            out += [b"".join(map(self.__getitem__, own)) for own in lists]
+        return out
 
 
 def _words_of(path: str) -> _Words:
@@ -87,8 +113,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
         for whole in batches:
             for i in range(0, len(whole), 500):
                 batch, rows = whole.slice(i, 500), []
-                for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                    ids = words.ids_of(text or b"") + last
+                texts = words.ids_of([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+                for doc, ids in zip(batch.column("id").to_pylist(), texts):
+                    ids += last
                     rows += [(doc, at // 4, min(size, len(ids) - at) // 4, zlib.crc32(ids[at : at + size]), len(ids) // 4) for at in range(0, len(ids), size)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
