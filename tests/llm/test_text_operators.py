@@ -208,6 +208,52 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def plain_licenses(text, band=3, least=0.7):
+    """(n_words, base places, labels) of a text, straight from the definition."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    labels, base = set(), []
+    for label, phrase in licenses.PHRASES:
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        base += at
+        labels |= {label} if at else set()
+    for label, template in licenses.TEMPLATES:
+        p = re.findall(r"[a-z0-9]+", template)
+        places = defaultdict(list)
+        for i in range(len(words) - 1):
+            places[words[i], words[i + 1]].append(i)
+        hits = [(j, i) for j in range(len(p) - 1) for i in places.get((p[j], p[j + 1]), ())]
+        for d in {i - j for j, i in hits}:
+            own = sorted((j, i) for j, i in hits if d <= i - j <= d + band)
+            length = []
+            for x, (j, i) in enumerate(own):
+                length.append(1 + max((length[y] for y in range(x) if own[y][0] < j and own[y][1] < i), default=0))
+            if max(length, default=0) >= least * (len(p) - 1):
+                labels.add(label)
+    return len(words), base, labels
+
+
+def test_licenses_equal_a_plain_scan(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = random.Random(8)
+    for i, (_, template) in enumerate(licenses.TEMPLATES * 8):
+        w = ["pre", "fix"] * rng.randrange(3) + template.split() + ["and", "more"] * rng.randrange(3)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(["the", "of", "software", "odd"])] * rng.randrange(2)
+        docs.append((10**6 + i, " ".join(w)))
+    docs += [(2 * 10**6, "of the " * 200), (2 * 10**6 + 1, "the software and the software or " * 60), (2 * 10**6 + 2, " ".join(reversed(licenses.TEMPLATES[3][1].split())))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    some = 0
+    for d, text in docs:
+        n, base, labels = plain_licenses(text)
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(base), min(base, default=None), max(base, default=None)), d
+        assert r.labels == ",".join(sorted(labels)), (d, r.labels, labels)
+        some += bool(labels)
+    assert some > 60 and all(got[2 * 10**6 + k].labels == "" and got[2 * 10**6 + k].score == 0 for k in range(3))
+
+
 def plain_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer

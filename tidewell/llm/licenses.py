@@ -4,11 +4,15 @@ All rolling 2-word hashes of all texts are Spark-joined to the positions of
 those hashes in the license templates (a fixed, small table, so it is
 broadcast). A hit at word i of a text and word j of a template votes for the
 diagonal i - j: a copy of the template gathers its votes on one diagonal, and an
-insertion or deletion moves the rest to a neighbouring one. Diagonals within
-``band`` of each other are merged to a span, and a span is verified by the share
-of the template's positions that it covers: all of them for the short phrases
-(then each word stands where the phrase has it), ``least`` for the longer
-templates, of which edited copies count too.
+insertion or deletion moves the rest to a neighbouring one. What is kept of a
+diagonal is the set of template positions that voted, as bits. A span is a window
+of ``band`` diagonals from one that has votes; it is verified twice: by the share of *distinct* template
+positions that it holds, and by the longest chain of these whose places in the
+text rise with them, so words that merely recur, or stand in another order, don't
+make a span. Short phrases need all positions on one diagonal (then each word
+stands where the phrase has it), the longer templates a chain of ``least`` of
+them, since edited copies count too. Of verified windows that overlap the one with
+the longest chain stays.
 
 Texts never leave the scan: what is shuffled are votes, summed before the
 shuffle. Hashes travel in runs of at most ``RUN`` words, so a very long text is
@@ -24,6 +28,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,10 +74,12 @@ def template_positions(spark: SparkSession) -> DataFrame:
     Template -1 at gram 0 stands for a document itself: it answers the one mark
     that each document sends, so documents without any vote stay in the result.
     """
-    hasher, rows = WordHasher(ALNUM), [(0, -1, 0, 1, True, "")]
+    hasher, rows = WordHasher(ALNUM), [(0, -1, 0, 1, False, "")]
     for t, (label, text) in enumerate((*PHRASES, *TEMPLATES)):
         raw = text.encode()
         words = hasher.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        if len(words) > 64:
+            raise ValueError(f"a template may have 64 words, as its positions are bits of a number: {text}")
         rows += [(g, t, j, len(words) - 1, t < len(PHRASES), label) for j, g in enumerate(_grams(words).tolist())]
     return spark.createDataFrame(rows, "gram long, template int, j int, size int, phrase boolean, label string")
 
@@ -110,6 +117,24 @@ def rolling(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, th long, n_words long, at long, grams array<long>")
 
 
+def longest_chain(diagonals: list[int], masks: list[int]) -> tuple[int, int, int]:
+    """Of hits (template position, place in the text) the longest chain that rises in both: (hits, first place, last place)."""
+    hits = sorted((j, -(d + j)) for d, mask in zip(diagonals, masks) for j in range(64) if mask >> j & 1)
+    best: list[tuple[int, int, int]] = []  # by length - 1: the chain that ends earliest, as (last place, first place, length)
+    for _, negative in hits:  # one position's places come from the last, so a chain takes one of them
+        place = -negative
+        k = bisect_left(best, (place,))
+        chain = (place, best[k - 1][1] if k else place, k + 1)
+        best[k : k + 1] = [chain]
+    return (best[-1][2], best[-1][1], best[-1][0]) if best else (0, 0, 0)
+
+
+def _chains(windows: pa.Array) -> pa.Array:
+    """The longest chain of each window, a list of (diagonal, mask)."""
+    rows = [longest_chain([x["diagonal"] for x in w], [x["mask"] for x in w]) for w in windows.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["hits", "first", "last"])
+
+
 def spans(docs: DataFrame, band: int = 3, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified spans and documents: rows (id, th, copies, n_words, template, label, phrase, start, end, coverage).
 
@@ -122,20 +147,27 @@ def spans(docs: DataFrame, band: int = 3, least: float = 0.7, id_col: str = "doc
         .join(F.broadcast(template_positions(docs.sparkSession)), "gram")
         .withColumn("diagonal", F.col("at") + F.col("i") - F.col("j"))
     )
-    votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", "diagonal").agg(F.count("*").alias("votes"), F.max("n_words").alias("n_words"))
+    votes = hits.groupBy("id", "th", "template", "label", "phrase", "size", "diagonal").agg(
+        F.count("*").alias("votes"), F.max("n_words").alias("n_words"), F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     own = Window.partitionBy("id", "th")
     line = Window.partitionBy("id", "th", "template").orderBy("diagonal")
-    apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(line) > band)
-    return (
-        votes.withColumn("copies", F.max(F.when(F.col("template") == -1, F.col("votes"))).over(own))
-        .withColumn("votes", (F.col("votes") / F.col("copies")).cast("long"))
-        .withColumn("span", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(line))
-        .groupBy("id", "th", "copies", "template", "label", "phrase", "size", "span")
-        .agg(F.sum("votes").alias("votes"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"), F.max("diagonal").alias("last"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("size")))
-        .where(F.col("coverage") >= F.when(F.col("phrase"), 1.0).otherwise(least))
-        .select("id", "th", "copies", "n_words", "template", "label", "phrase", "start", (F.col("last") + F.col("size") + 1).alias("end"), "coverage")
+    held = F.bit_count(F.when(F.col("phrase"), F.col("mask")).otherwise(F.bit_or("mask").over(line.rangeBetween(0, band))))
+    whole = F.col("template") < 0
+    found = (
+        votes.withColumn("copies", F.max(F.when(whole, F.col("votes"))).over(own)).withColumn("held", held)
+        .withColumn("window", F.collect_list(F.struct("diagonal", "mask")).over(line.rangeBetween(0, band)))
+        .where(F.when(F.col("phrase") | whole, F.col("held") == F.col("size")).otherwise(F.col("held") >= F.col("size") * least))
+    )
+    places = "id", "th", "copies", "n_words", "template", "label", "phrase"
+    exact = found.where(F.col("phrase") | whole).select(*places, F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size") + 1).alias("end"), F.lit(1.0).alias("coverage"))
+    chains = found.where(~F.col("phrase") & ~whole).withColumn("chain", F.arrow_udf(_chains, "struct<hits: long, first: long, last: long>")("window"))
+    own = F.struct("coverage", -F.col("diagonal"))
+    loose = (
+        chains.withColumn("coverage", F.col("chain.hits") / F.col("size")).where(F.col("coverage") >= least)
+        .withColumn("most", F.max(own).over(line.rangeBetween(-band, band))).where(own == F.col("most"))
+        .select(*places, F.col("chain.first").alias("start"), (F.col("chain.last") + 2).alias("end"), "coverage")
     )
+    return exact.unionByName(loose)
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
