@@ -113,6 +113,33 @@ def on_boundary(p: Column, r: Column) -> Column:
     return F.exists(_edges(r), touches)
 
 
+def is_box(r: Column) -> Column:
+    """Whether a ring is an axis-parallel box given by five corners; its measures then need two corners only."""
+    c = [F.get(r, F.lit(i)) for i in range(5)]
+    turns = lambda u, v: (c[0][u] == c[1][u]) & (c[1][v] == c[2][v]) & (c[2][u] == c[3][u]) & (c[3][v] == c[0][v])
+    closed = (F.size(r) == 5) & (c[0]["x"] == c[4]["x"]) & (c[0]["y"] == c[4]["y"])
+    return F.coalesce(closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
+
+
+def frame(r: Column) -> Column:
+    """Bounds of a ring that is a box, else null; computed once a polygon, it spares each pair the general test."""
+    return F.when(is_box(r), bounds(r))
+
+
+def in_box(p: Column, b: Column, strict: bool) -> Column:
+    """Point inside a box, on its boundary too unless ``strict``."""
+    if strict:
+        return (p["x"] > b["x0"]) & (p["x"] < b["x1"]) & (p["y"] > b["y0"]) & (p["y"] < b["y1"])
+    return p["x"].between(b["x0"], b["x1"]) & p["y"].between(b["y0"], b["y1"])
+
+
+def box_distance(p: Column, b: Column) -> Column:
+    """Point to box; 0 inside."""
+    zero = F.lit(0.0)
+    dx, dy = F.greatest(b["x0"] - p["x"], zero, p["x"] - b["x1"]), F.greatest(b["y0"] - p["y"], zero, p["y"] - b["y1"])
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def _crossings_odd(p: Column, r: Column) -> Column:
     def crosses(n: Column, e: Column) -> Column:
         spans = (e["ay"] > p["y"]) != (e["by"] > p["y"])
@@ -181,7 +208,10 @@ def _shoelace(c: np.ndarray) -> float:
 
 
 def _rings(column: pa.Array) -> list[np.ndarray | None]:
-    return [None if r is None else np.array([(c["x"], c["y"]) for c in r], float).reshape(-1, 2) for r in column.to_pylist()]
+    flat, valid = column.flatten(), column.is_valid().to_numpy(zero_copy_only=False)
+    xy = np.column_stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)]).astype(float).reshape(-1, 2)
+    ends = np.cumsum(np.where(valid, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)).tolist()
+    return [xy[a:b] if v else None for v, a, b in zip(valid.tolist(), [0, *ends], ends)]
 
 
 def hull_area(points: Column) -> Column:
@@ -229,13 +259,19 @@ def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
     return abs(total * signs[0] * signs[1])
 
 
-def intersection_area(a: Column, b: Column) -> Column:
-    """Area of the intersection of two polygons."""
+def intersection_area(a: Column, b: Column, frame_a: Column | None = None, frame_b: Column | None = None) -> Column:
+    """Area of the intersection of two polygons; ``frame`` of both, if given, takes box pairs off the Python path."""
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([None if p is None or q is None else overlap_area(p, q) for p, q in zip(_rings(x), _rings(y))], pa.float64())
 
-    return F.arrow_udf(run, T.DoubleType())(a, b)
+    general = F.arrow_udf(run, T.DoubleType())
+    if frame_a is None or frame_b is None:
+        return general(a, b)
+    side = lambda i: F.greatest(F.least(frame_a[i + "1"], frame_b[i + "1"]) - F.greatest(frame_a[i + "0"], frame_b[i + "0"]), F.lit(0.0))
+    both = frame_a.isNotNull() & frame_b.isNotNull()
+    # Two boxes reach the Python worker as nulls.
+    return F.when(both, side("x") * side("y")).otherwise(general(F.when(~both, a), F.when(~both, b)))
 
 
 def _touch(p: np.ndarray, q: np.ndarray) -> bool:
@@ -259,10 +295,15 @@ def _touch(p: np.ndarray, q: np.ndarray) -> bool:
     return holds(p, q[0]) or holds(q, p[0])
 
 
-def polygons_intersect(a: Column, b: Column) -> Column:
-    """Whether two polygons share a point."""
+def polygons_intersect(a: Column, b: Column, frame_a: Column | None = None, frame_b: Column | None = None) -> Column:
+    """Whether two polygons share a point; ``frame`` of both, if given, takes box pairs off the Python path."""
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([None if p is None or q is None else _touch(p, q) for p, q in zip(_rings(x), _rings(y))], pa.bool_())
 
-    return F.arrow_udf(run, T.BooleanType())(a, b)
+    general = F.arrow_udf(run, T.BooleanType())
+    if frame_a is None or frame_b is None:
+        return general(a, b)
+    meet = (frame_a["x0"] <= frame_b["x1"]) & (frame_b["x0"] <= frame_a["x1"]) & (frame_a["y0"] <= frame_b["y1"]) & (frame_b["y0"] <= frame_a["y1"])
+    both = frame_a.isNotNull() & frame_b.isNotNull()
+    return F.when(both, meet).otherwise(general(F.when(~both, a), F.when(~both, b)))

@@ -32,63 +32,89 @@ def cell_size(polygons: DataFrame, shape: str, reach: float = 0.0) -> float:
     return max(float(mean or 0) + 2 * reach, 1e-9)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows over all cores if their input is too small to fill them by its own splits.
+
+    The plan's own estimate decides, so large inputs keep their partitions and aren't shuffled.
+    """
+    session = rows.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    split = session._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reach: float = 0.0, strict: bool = True, size: float | None = None) -> DataFrame:
-    """Pairs of points and polygons: strictly within (``strict``), touching, or at most ``reach`` apart."""
+    """Pairs of points and polygons: strictly within (``strict``), touching, or at most ``reach`` apart.
+
+    Bounds stand beside a polygon as plain columns, so that a candidate outside of
+    them is dropped in generated code before the exact test.
+    """
     size = size or cell_size(polygons, shape, reach)
-    left = points.withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
-    right = polygons.withColumn("__c", F.explode(cells_of(G.bounds(F.col(shape)), size, reach))).select("*", "__c.cx", "__c.cy").drop("__c")
-    joined = left.join(right, ["cx", "cy"]).drop("cx", "cy")
-    p, r = F.col(at), F.col(shape)
-    return joined.where(G.polygon_distance(p, r) <= reach if reach else G.within(p, r) if strict else G.intersects(p, r))
+    left = spread(points).withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
+    right = polygons.withColumn("__b", G.bounds(F.col(shape))).withColumn("__box", G.is_box(F.col(shape))).withColumn("__c", F.explode(cells_of(F.col("__b"), size, reach))).select("*", "__c.cx", "__c.cy").drop("__c")
+    p, r, b = F.col(at), F.col(shape), F.col("__b")
+    near = p["x"].between(b["x0"] - reach, b["x1"] + reach) & p["y"].between(b["y0"] - reach, b["y1"] + reach)
+    exact = G.polygon_distance(p, r) <= reach if reach else G.within(p, r) if strict else G.intersects(p, r)
+    boxed = G.box_distance(p, b) <= reach if reach else G.in_box(p, b, strict)
+    return left.join(right, ["cx", "cy"]).where(near & F.when(F.col("__box"), boxed).otherwise(exact)).drop("cx", "cy", "__b", "__box")
 
 
 def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None = None) -> DataFrame:
-    """Rows (a, b, shape_a, shape_b) of intersecting polygons with key a < b."""
+    """Rows (a, b, shape_a, shape_b, frame_a, frame_b) of intersecting polygons with key a < b."""
     size = size or cell_size(polygons, shape)
-    named = polygons.select(F.col(key).alias("__k"), F.col(shape).alias("__s"))
-    listed = named.select("*", G.bounds(F.col("__s")).alias("__b")).select("*", F.explode(cells_of(F.col("__b"), size)).alias("c"))
-    x, y = (listed.select("c", *(F.col(f"__{n}").alias(f"{n}_{side}") for n in "ksb")) for side in "ab")
+    named = spread(polygons.select(F.col(key).alias("__k"), F.col(shape).alias("__s")))
+    listed = named.select("*", G.bounds(F.col("__s")).alias("__b"), G.frame(F.col("__s")).alias("__f")).select("*", F.explode(cells_of(F.col("__b"), size)).alias("c"))
+    x, y = (listed.select("c", *(F.col(f"__{n}").alias(f"{n}_{side}") for n in "ksbf")) for side in "ab")
     both = x.join(y, "c").where("k_a < k_b and b_a.x0 <= b_b.x1 and b_b.x0 <= b_a.x1 and b_a.y0 <= b_b.y1 and b_b.y0 <= b_a.y1")
     # Of the cells that both meet, only the one with the low corner of the common bounds counts.
     once = both.where((F.col("c.cx") == _cell(F.greatest(F.col("b_a.x0"), F.col("b_b.x0")), size)) & (F.col("c.cy") == _cell(F.greatest(F.col("b_a.y0"), F.col("b_b.y0")), size)))
-    return once.where(G.polygons_intersect(F.col("s_a"), F.col("s_b"))).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), F.col("s_a").alias("shape_a"), F.col("s_b").alias("shape_b"))
+    meet = G.polygons_intersect(F.col("s_a"), F.col("s_b"), F.col("f_a"), F.col("f_b"))
+    return once.where(meet).select(*(F.col(f"{n}_{side}").alias(name + side) for n, name in (("k", ""), ("s", "shape_"), ("f", "frame_")) for side in "ab"))
 
 
 def nearest_polygons(points: DataFrame, key: str, at: str, polygons: DataFrame, shape: str, k: int, size: float | None = None) -> DataFrame:
-    """Rows (key, distance, rank) of each point's k nearest polygons.
+    """Rows (key, distance, rank) of each point's k nearest polygons; ``key`` is unique.
 
     Rounds with doubling cells: a point looks at its 3 x 3 cells, and is done
     when its k-th distance is at most one cell, as nothing nearer can lie
     outside of them. What is left goes on; the last round's cell spans everything.
+    A polygon met in several of the cells counts in the lowest of them.
     """
     b = G.bounds(F.col(shape))
     low_high = lambda c: (F.min(c), F.max(c))
     px, py = F.col(at)["x"], F.col(at)["y"]
     p = points.agg(*low_high(px), *low_high(py)).first()
-    *q, n = polygons.agg(F.min(b["x0"]), F.max(b["x1"]), F.min(b["y0"]), F.max(b["y1"]), F.count("*")).first()
-    empty = points.select(key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    *q, side, n = polygons.select(b.alias("b")).agg(F.min("b.x0"), F.max("b.x1"), F.min("b.y0"), F.max("b.y1"), F.avg(F.expr("greatest(b.x1 - b.x0, b.y1 - b.y0)")), F.count("b")).first()
     if None in (*p, *q):
-        return empty
+        return points.select(key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     span = max(max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2]))
-    # Cells that hold about k polygons at even density, so that most points end in the first rounds.
-    size = size or max(cell_size(polygons, shape), ((q[1] - q[0]) * (q[3] - q[2]) * k / n) ** 0.5)
-    left, done = points.select(key, at), []
-    # Numbered before they are listed by cell, so that a polygon met in two cells is one.
-    numbered = polygons.select(F.col(shape).alias("__s")).withColumn("__id", F.monotonically_increasing_id())
+    # Nine cells that hold about 2 k polygons at even density, and no polygon in very many cells.
+    size = size or max(side / 2, ((q[1] - q[0]) * (q[3] - q[2]) * 2 * k / (9 * n)) ** 0.5, span / 2**20, 1e-9)
+    left, done = spread(points.select(key, at)), []
+    boxed = polygons.select(F.col(shape).alias("__s"), b.alias("__b"), G.is_box(F.col(shape)).alias("__box"))
     while True:
         last = size >= 2 * span
-        looks = neighbours(px, py, size)
-        asked = left.select(key, at, F.explode(looks).alias("c"))
-        listed = numbered.select("__s", "__id", F.explode(cells_of(G.bounds(F.col("__s")), size)).alias("c"))
-        pairs = asked.join(listed, "c").dropDuplicates([key, "__id"]).withColumn("distance", G.polygon_distance(F.col(at), F.col("__s")))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "__id"))).where(F.col("rank") <= k)
-        found = ranked.select(key, "distance", "rank", F.max("distance").over(Window.partitionBy(key)).alias("far"), F.count("*").over(Window.partitionBy(key)).alias("n")).persist()
-        good = found if last else found.where((F.col("n") == k) & (F.col("far") <= size))
-        done.append(good.select(key, "distance", "rank"))
+        cx, cy = _cell(px, size), _cell(py, size)
+        asked = left.select(key, at, (cx - 1).alias("lx"), (cy - 1).alias("ly"), F.explode(neighbours(px, py, size)).alias("c"))
+        first = [_cell(F.col("__b")[c], size).alias(f"f{c[0]}") for c in ("x0", "y0")]
+        listed = boxed.select("__s", "__b", "__box", *first, F.explode(cells_of(F.col("__b"), size)).alias("c"))
+        once = (F.col("c.cx") == F.greatest("lx", "fx")) & (F.col("c.cy") == F.greatest("ly", "fy"))
+        gap = F.when(F.col("__box"), G.box_distance(F.col(at), F.col("__b"))).otherwise(G.polygon_distance(F.col(at), F.col("__s")))
+        pairs = asked.join(listed, "c").where(once).select(key, gap.alias("distance"))
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance"))).where(F.col("rank") <= k)
+        whole = Window.partitionBy(key)
+        found = ranked.select(key, "distance", "rank", F.max("distance").over(whole).alias("far"), F.count("*").over(whole).alias("n"))
         if last:
+            done.append(found.select(key, "distance", "rank"))
             break
-        left = left.join(good.select(key).distinct(), key, "left_anti").persist()
-        if left.isEmpty():
+        found = found.persist()
+        good = found.where((F.col("n") == k) & (F.col("far") <= size))
+        done.append(good.select(key, "distance", "rank"))
+        before, left = left, left.join(good.where("rank = 1").select(key), key, "left_anti").persist()
+        empty = left.isEmpty()
+        before.unpersist()
+        if empty:
             break
         size *= 2
     out = done[0]
