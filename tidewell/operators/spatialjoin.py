@@ -44,14 +44,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * split else rows
 
 
-def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reach: float = 0.0, strict: bool = True, size: float | None = None) -> DataFrame:
+def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reach: float = 0.0, strict: bool = True, size: float | None = None, deal: bool = False) -> DataFrame:
     """Pairs of points and polygons: strictly within (``strict``), touching, or at most ``reach`` apart.
 
-    Bounds stand beside a polygon as plain columns, so that a candidate outside of
+    ``deal`` spreads the points of a small input over all cores (for many
+    candidates a point). Bounds stand beside a polygon as plain columns, so that a candidate outside of
     them is dropped in generated code before the exact test.
     """
     size = size or cell_size(polygons, shape, reach)
-    left = spread(points).withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
+    left = (spread(points) if deal else points).withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
     right = polygons.withColumn("__b", G.bounds(F.col(shape))).withColumn("__box", G.is_box(F.col(shape))).withColumn("__c", F.explode(cells_of(F.col("__b"), size, reach))).select("*", "__c.cx", "__c.cy").drop("__c")
     p, r, b = F.col(at), F.col(shape), F.col("__b")
     near = p["x"].between(b["x0"] - reach, b["x1"] + reach) & p["y"].between(b["y0"] - reach, b["y1"] + reach)

@@ -96,7 +96,7 @@ def spatial_q7(spark, sf_dir):
 
 def spatial_q8(spark, sf_dir):
     """Pickups near each building."""
-    return J.point_join(trips(spark, sf_dir), "p", buildings(spark, sf_dir), "shape", reach=0.45).groupBy("bkey", "bname").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bkey").limit(100)
+    return J.point_join(trips(spark, sf_dir), "p", buildings(spark, sf_dir), "shape", reach=0.45, deal=True).groupBy("bkey", "bname").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bkey").limit(100)
 
 
 def spatial_q9(spark, sf_dir):
