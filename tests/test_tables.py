@@ -100,7 +100,7 @@ def test_conditional_writes_take_every_event(spark, sf):
             asked = tag if r.event_id % 4 == 1 else r.event_id
             fails = {0: False, 1: tag is not None, 2: tag is None or tag != asked}[r.event_id % 3]
             want[r.event_id] = 412 if fails else 200
-    got = storage.queries()["conditional_writes_all"](spark, sf).collect()
+    got = storage.queries()["conditional_writes"](spark, sf).collect()
     assert {r.event_id: r.status for r in got} == want and len(got) == len(want)
     assert set(state) | {r.key for r in got} == {r.user_id for r in e} and len(want) + sum(r.event_id % 2 == 0 for r in e) == len(e)
     assert {(r.event_id % 3, r.status) for r in got} >= {(0, 200), (1, 200), (1, 412), (2, 200), (2, 412)}

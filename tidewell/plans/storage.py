@@ -128,24 +128,11 @@ def latest_versions(spark, sf_dir):
     return latest(log, ["user_id"], ["event_id"]).select("user_id", "event_id", "value")
 
 
-@_query("""WITH cur AS (SELECT user_id AS key, max(event_id) AS etag FROM events WHERE event_id < 500 GROUP BY user_id),
-q AS (SELECT event_id, user_id AS key, event_id % 3 AS mode, CASE WHEN event_id % 2 = 0 THEN (SELECT max(e.event_id) FROM events e WHERE e.event_id < 500 AND e.user_id = x.user_id) END AS want FROM events x WHERE event_id BETWEEN 500 AND 900)
-SELECT event_id, q.key, CASE mode WHEN 1 THEN CASE WHEN cur.etag IS NULL THEN 200 ELSE 412 END WHEN 2 THEN CASE WHEN cur.etag IS NOT NULL AND cur.etag = want THEN 200 ELSE 412 END ELSE 200 END AS status
-FROM q LEFT JOIN cur ON q.key = cur.key""")
-def conditional_writes(spark, sf_dir):
-    """MUT2: if-absent and if-match conditions against current state, over the events that its oracle SQL names (ids up to 900); ``conditional_writes_all`` takes every event."""
-    e = table(spark, sf_dir, "events")
-    cur = e.where("event_id < 500").groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("etag"))
-    asked = e.where("event_id between 500 and 900").select("event_id", F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("mode"))
-    want = asked.join(cur, "key", "left").select("event_id", "key", F.when(F.col("mode") == 1, "absent").when(F.col("mode") == 2, "match").alias("condition"), F.when(F.col("event_id") % 2 == 0, F.col("etag")).alias("want"))
-    return conditional_puts(want, cur).select("event_id", "key", "status")
-
-
 @_query("""WITH cur AS (SELECT key, etag FROM (SELECT user_id AS key, event_id AS etag, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 2 = 0) WHERE r = 1 AND event_type <> 'error'),
 q AS (SELECT x.event_id, x.user_id AS key, x.event_id % 3 AS mode, cur.etag, CASE WHEN x.event_id % 4 = 1 THEN cur.etag ELSE x.event_id END AS want FROM events x LEFT JOIN cur ON x.user_id = cur.key WHERE x.event_id % 2 <> 0)
 SELECT event_id, key, CASE WHEN mode = 1 AND etag IS NOT NULL THEN 412 WHEN mode = 2 AND (etag IS NULL OR etag <> want) THEN 412 ELSE 200 END AS status FROM q""")
-def conditional_writes_all(spark, sf_dir):
-    """MUT2 over every event: even ids make each key's state (an error deletes it), every other event is a request."""
+def conditional_writes(spark, sf_dir):
+    """MUT2: if-absent and if-match conditions over every event: even ids make each key's state (an error deletes it), every other event is a request."""
     e = table(spark, sf_dir, "events")
     log = e.where("event_id % 2 = 0").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("put"))
     cur = latest(log, ["user_id"], ["event_id"]).select(F.col("user_id").alias("key"), F.col("event_id").alias("etag"))
