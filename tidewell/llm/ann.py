@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-A block of vectors keeps one sorted array per random projection. A query takes a
+A block of vectors keeps one sorted array per random direction (the directions
+come from rotations, so they don't repeat each other). A query takes a
 window around its own projection in each array (query-centred, so no bucket
 edge separates it from a neighbour); widening all windows by virtual rehashing
 reuses the same arrays. A vector that falls into the windows of at least
@@ -12,8 +13,8 @@ Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2) with M
 the largest norm (0 for queries, which are scaled to M), so the nearest have the largest product.
 
 Blocks: vectors are dealt by hash of their id into blocks of about
-``BLOCK`` rows, queries into blocks of ``QUERY_BLOCK``; each pair of blocks is
-one group, and each returns at most k rows a query. All rows are indexed.
+``BLOCK`` rows, queries into blocks of ``QUERY_BLOCK``, so that up to that many
+queries a vector is shipped and indexed once; each pair of blocks is one group, and each returns at most k rows a query. All rows are indexed.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, as query or candidate; a vector never finds rows of its own id; equal
@@ -28,9 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERY_BLOCK = 16384, 1024
-#: Projections, the share of them in whose windows a candidate is, and the candidates beyond k at which windows stop to widen (rows, share of the block).
-PROJECTIONS, THRESHOLD, EXTRA, SHARE, START = 64, 0.8, 100, 0.2, 0.55
+BLOCK, QUERY_BLOCK = 16384, 16384
+#: Projections, the share of them in whose windows a candidate is, the candidates beyond k at which windows stop to widen
+#: (rows, share of the block), the share of an array in the first windows, and the factor by which they widen.
+PROJECTIONS, THRESHOLD, EXTRA, SHARE, START, STEP = 128, 0.85, 100, 0.015, 0.8, 1.04
+
+
+def _directions(dim: int, count: int, seed: int) -> np.ndarray:
+    """``count`` unit directions as columns, from random rotations: those of one rotation are orthogonal, so together they miss no part of a difference."""
+    rng = np.random.default_rng(seed)
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-count // dim))]
+    return np.concatenate(turns, axis=1)[:, :count]
 
 
 class SortedProjections:
@@ -39,7 +48,7 @@ class SortedProjections:
     def __init__(self, vectors: np.ndarray, largest: float, seed: int = 0, projections: int = PROJECTIONS):
         n, dim = vectors.shape
         self.vectors, self.m, self.largest = vectors, projections, largest
-        self.a = np.random.default_rng(seed).standard_normal((dim + 1, projections))
+        self.a = _directions(dim + 1, projections, seed)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         height = np.sqrt(np.maximum(largest * largest - norms, 0))
         at = vectors @ self.a[:-1] + np.outer(height, self.a[-1])
@@ -56,19 +65,20 @@ class SortedProjections:
             return np.arange(n)
         # The order of inner products doesn't depend on the query's length; at the largest norm distances differ most.
         centre = (query * (self.largest / np.sqrt(query @ query))) @ self.a[:-1]
-        counts = np.zeros(n, np.int64)
-        left = right = (self.sorted < centre[:, None]).sum(axis=1) if n < 64 else np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre)])
         width = self.first_width
+        edges = lambda w: (np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre - w)]), np.array([s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + w)]))
+        rows = lambda starts, ends: np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, starts.tolist(), ends.tolist())]), minlength=n)
+        left, right = edges(width)
+        # The first windows hold most of an array, so what they leave out is counted.
+        counts = self.m - rows(np.zeros_like(left), left) - rows(right, np.full_like(right, n))
         while True:
-            lo = np.minimum(left, [s.searchsorted(c) for s, c in zip(self.sorted, centre - width)])
-            hi = np.maximum(right, [s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + width)])
-            parts = [o[a:b] for o, a, b in zip(self.order, lo.tolist(), left.tolist())] + [o[a:b] for o, a, b in zip(self.order, right.tolist(), hi.tolist())]
-            counts += np.bincount(np.concatenate(parts), minlength=n)
-            left, right = lo, hi
             found = np.flatnonzero(counts >= least)
             if len(found) >= wanted or (left == 0).all() and (right == n).all():
                 return found
-            width *= 1.15
+            width *= STEP
+            lo, hi = edges(width)
+            counts += rows(lo, left) + rows(right, hi)
+            left, right = lo, hi
 
     def search(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, products) of the best k candidates whose row is not marked in ``own``."""
