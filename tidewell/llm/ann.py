@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERY_BLOCK = 16384, 16384
+#: Queries whose windows are looked up at once.
+BATCH = 128
 #: Projections, the share of them in whose windows a candidate is, the candidates beyond k at which windows stop to widen
 #: (rows, share of the block), the share of an array in the first windows, and the factor by which they widen.
 PROJECTIONS, THRESHOLD, EXTRA, SHARE, START, STEP = 128, 0.85, 100, 0.015, 0.8, 1.04
@@ -58,40 +60,57 @@ class SortedProjections:
         reach = self.sorted[:, int((n - 1) * (1 + START) / 2)] - self.sorted[:, int((n - 1) * (1 - START) / 2)]
         self.first_width = max(1e-9, float(np.median(reach)) / 2)
 
-    def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows that collide with the query in at least THRESHOLD of the projections, ``wanted`` or more of them."""
+    def candidates(self, queries: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that collide with it in at least THRESHOLD of the projections, ``wanted`` or more of them.
+
+        Window edges are looked up for all queries of a round at once; a query leaves when it has enough.
+        """
         n, least = len(self.vectors), int(np.ceil(THRESHOLD * self.m))
-        if n <= wanted:
-            return np.arange(n)
+        out: list[np.ndarray] = [np.arange(n)] * len(queries)
+        active = np.flatnonzero(wanted < n)
+        if not len(active):
+            return out
         # The order of inner products doesn't depend on the query's length; at the largest norm distances differ most.
-        centre = (query * (self.largest / np.sqrt(query @ query))) @ self.a[:-1]
-        width = self.first_width
-        edges = lambda w: (np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre - w)]), np.array([s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + w)]))
-        rows = lambda starts, ends: np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, starts.tolist(), ends.tolist())]), minlength=n)
-        left, right = edges(width)
-        # The first windows hold most of an array, so what they leave out is counted.
-        counts = self.m - rows(np.zeros_like(left), left) - rows(right, np.full_like(right, n))
-        while True:
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= wanted or (left == 0).all() and (right == n).all():
-                return found
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        centres = (queries * (self.largest / lengths)[:, None]) @ self.a[:-1]
+        edge = lambda at, side: np.stack([s.searchsorted(c, side) for s, c in zip(self.sorted, at.T)], axis=1)
+        rows = lambda spans: np.bincount(np.concatenate(spans), minlength=n)
+        spans = lambda starts, ends: [o[a:b] for o, a, b in zip(self.order, starts.tolist(), ends.tolist()) if a < b]
+        none = [np.zeros(0, np.int64)]
+        width, counts, left, right = self.first_width, {}, None, None
+        while len(active):
+            lo, hi = edge(centres[active] - width, "left"), edge(centres[active] + width, "right")
+            going = []
+            for i, q in enumerate(active.tolist()):
+                if left is None:  # The first windows hold most of an array, so what they leave out is counted.
+                    outside = spans(np.zeros_like(lo[i]), lo[i]) + spans(hi[i], np.full_like(hi[i], n))
+                    counts[q] = self.m - rows(none + outside)
+                else:
+                    counts[q] += rows(none + spans(lo[i], left[i]) + spans(right[i], hi[i]))
+                found = np.flatnonzero(counts[q] >= least)
+                if len(found) >= wanted[q] or (lo[i] == 0).all() and (hi[i] == n).all():
+                    out[q] = found
+                    del counts[q]
+                else:
+                    going.append(i)
+            active, left, right = active[going], lo[going], hi[going]
             width *= STEP
-            lo, hi = edges(width)
-            counts += rows(lo, left) + rows(right, hi)
-            left, right = lo, hi
-
-    def search(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, products) of the best k candidates whose row is not marked in ``own``."""
-        wanted = k + EXTRA + int(SHARE * len(ids)) + int(own.sum())
-        rows = self.candidates(query, wanted)
-        rows = rows[~own[rows]]
-        scores = (self.vectors[rows] * query).sum(axis=1)
-        if len(rows) > 4 * k:
-            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= cut
-            rows, scores = rows[keep], scores[keep]
-        best = np.lexsort((ids[rows], -scores))[:k]
-        return ids[rows][best], scores[best]
+        return out
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, products) of each query's best k candidates that don't have its id."""
+        own = np.array([np.count_nonzero(ids == q) for q in query_ids], np.int64)
+        answers = []
+        for query, q, rows in zip(queries, query_ids, self.candidates(queries, k + EXTRA + int(SHARE * len(ids)) + own)):
+            rows = rows[ids[rows] != q]
+            scores = (self.vectors[rows] * query).sum(axis=1)
+            if len(rows) > 4 * k:
+                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores >= cut
+                rows, scores = rows[keep], scores[keep]
+            best = np.lexsort((ids[rows], -scores))[:k]
+            answers.append((ids[rows][best], scores[best]))
+        return answers
 
 
 def usable(vector: Column) -> Column:
@@ -124,10 +143,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             if not len(rows):
                 continue
             index, own_ids = SortedProjections(pick(rows), float(largest or 0)), ids[rows]
-            for r in asked_rows.tolist():
-                found, scores = index.search(flat[at[r] : at[r] + dim], own_ids == ids[r], own_ids, k)
-                for part, x in zip(out, (np.full(len(found), ids[r]), found, scores)):
-                    part.append(x)
+            for i in range(0, len(asked_rows), BATCH):
+                batch = asked_rows[i : i + BATCH]
+                for r, (found, scores) in zip(batch.tolist(), index.search(pick(batch), ids[batch], own_ids, k)):
+                    for part, x in zip(out, (np.full(len(found), ids[r]), found, scores)):
+                        part.append(x)
         full = [np.concatenate(p) if p else np.zeros(0) for p in out]
         return pa.table({"query_id": pa.array(full[0].astype(np.int64)), "vec_id": pa.array(full[1].astype(np.int64)), "score": pa.array(full[2].astype(np.float64))})
 
