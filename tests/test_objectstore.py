@@ -1,10 +1,12 @@
 import hashlib
+import re
 import threading
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import chunking as C
 from tidewell.functions.prng import filler_objects
 from tidewell.sources import objectstore as S
 
@@ -201,7 +203,64 @@ def test_reads_prune_folders(store):
         plan = store.read_pieces(meta, 0, 10)._jdf.queryExecution().executedPlan().toString()
     finally:
         store.spark.conf.unset("spark.sql.maxMetadataStringLength")
-    assert "PartitionFilters: [isnotnull(folder" in plan and "GreaterThanOrEqual(no,0)" in plan
+    assert re.search(r"PartitionFilters: \[[^]]*folder#\d+ = \d+", plan) and "GreaterThanOrEqual(no,0)" in plan
+
+
+def test_folders_on_the_driver_are_those_of_the_scan(store, spark):
+    ids = [0, 1, 7, 2**62, 2**63 - 1, *(i * 982_451_653 for i in range(200))]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", C.folder_of(F.col("id")).alias("f")).collect()
+    assert all(store._folders([r.id]) == [r.f] for r in rows)
+
+
+def test_many_parts_are_one_scan(store, spark):
+    n = 10_000
+    rows = spark.range(n).select(F.col("id").alias("file_id"), F.format_string("%06d", "id").cast("binary").alias("data"))
+    store._write_chunks(rows)
+    meta = S.Meta("b", "m", 0, 6 * n, "", 0.0, tuple(range(n)), tuple(6 * (i + 1) for i in range(n)))
+    assert b"".join(store._pieces(meta, 4, 6 * n - 3)) == "".join(f"{i:06d}" for i in range(n)).encode()[4:-2]
+    assert store.read_pieces(meta, 0, 6 * n - 1)._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    short = S.Meta("b", "m", 0, 6 * n + 6, "", 0.0, (*range(n), n), (*meta.part_ends, 6 * n + 6))
+    with pytest.raises(S.StoreError, match="missing"):
+        b"".join(store._pieces(short, 0, 6 * n + 5))
+
+
+def test_a_vacuum_that_crashes_loses_nothing(store, monkeypatch):
+    store.put("b", "keep", NEW)
+    for i in range(12):
+        store.put("b", "k", OLD + bytes([i]))
+    before = store.chunks().count()
+    create = store._create
+    with monkeypatch.context() as m:
+        m.setattr(store, "_create", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.vacuum()
+    assert store._create == create and store.chunks().count() == before and store.get("b", "keep").data == NEW
+    assert store.vacuum() == 33 and store.chunks().count() == 7
+    assert store.get("b", "keep").data == NEW and store.get("b", "k").data == OLD + bytes([11])
+    store.put("b", "new", OLD)
+    store.delete("b", "k")
+    assert store.vacuum() == 3 and store.get("b", "new").data == OLD and store.vacuum() == 0
+
+
+def test_bulk_put_after_a_lost_race_is_the_newest(store, spark):
+    store.put("b", "k", b"old")
+    commit = store._commit
+
+    def late(make):
+        store._commit = commit
+        store.put("b", "k", b"between")
+        return commit(make)
+
+    store._commit = late
+    store.put_many("b", spark.createDataFrame([("k", bytearray(b"bulk")), ("k", bytearray(b"bulk"))], "key string, data binary"))
+    assert store.get("b", "k").data == b"bulk" and b"".join(store.stream("b", "k", "bytes=1-2")) == b"ul"
+    assert [(r.key, bytes(r.data)) for r in store.bodies("b").collect()] == [("k", b"bulk")]
+    store.put("b", "k", b"")
+    assert [(r.key, bytes(r.data)) for r in store.bodies("b").collect()] == [("k", b"")]
+    store.delete("b", "k")
+    store.delete_bucket("b")
+    with pytest.raises(S.NoSuchBucket):
+        store.put_many("b", spark.createDataFrame([("k", bytearray(b"1"))], "key string, data binary"))
 
 
 def test_read_load(store):

@@ -81,3 +81,57 @@ def test_expiry_goes_on_inside_a_large_upload(spark):
         left = {k: n - takes.get(k, 0) for k, n in left.items() if takes.get(k) != n}
         assert len(runs) < 9
     assert runs == [{0: 10}, {0: 10}, {0: 5, 1: 0, 2: 4, 3: 1}, {3: 9}]
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    rng = random.Random(5)
+    groups = {"hot": [7.0] * 4000 + [rng.random() * 9 for _ in range(3000)], "few": [3.0], "two": [1.0, 2.0], None: [rng.gauss(0, 1) for _ in range(500)], "ties": [1.0, 1.0, 1.0, 2.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in [*xs, None]], "g string, x double").repartition(5)
+    ps = (0.0, 0.01, 0.5, 0.95, 0.99, 1.0)
+    ranks = {f"{name}{int(p * 100)}": (rule, p) for p in ps for name, rule in (("f", T.rank_floor), ("i", T.rank_index), ("c", T.rank_ceil))}
+    got = {r.g: r.asDict() for r in T.exact_percentiles(df, "x", ["g"], ranks).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        xs, n = sorted(xs), len(xs)
+        for p in ps:
+            want = {"f": xs[math.floor((n - 1) * p)], "i": xs[min(n - 1, int(n * p))], "c": xs[max(0, math.ceil(n * p) - 1)]}
+            assert {k: got[g][f"{k}{int(p * 100)}"] for k in want} == want, (g, p)
+    assert T.exact_percentiles(df.limit(0), "x", ["g"], ranks).count() == 0
+
+
+def test_lock_keys_and_intervals(spark):
+    from tidewell.functions import times as TM
+
+    row = spark.range(1).select(
+        TM.lock_key(F.lit("a"), F.lit("b")).alias("ab"), TM.lock_key(F.lit("b"), F.lit("a")).alias("ba"), TM.lock_key(F.lit("a"), F.lit("b")).alias("again"),
+        TM.seconds(F.expr("timestamp'2024-03-01 00:00:00.5' - timestamp'2024-03-02 12:00:00'")).alias("back"), TM.epoch(F.expr("timestamp'1970-01-02 00:00:00.25'")).alias("day")).first()
+    assert row.ab == row.again != row.ba and (row.back, row.day) == (-129599.5, 86400.25)
+
+
+def test_index_discovery(spark, tmp_path):
+    for name, n in (("logs-a", 3), ("logs-b", 0), ("other", 2)):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(map(tuple, S.indices(spark, str(tmp_path), "logs*").collect())) == [("logs-a", 3), ("logs-b", 0)]
+    assert S.indices(spark, str(tmp_path), "none*").collect() == []
+
+
+def test_progress_lines(spark, tmp_path):
+    import time
+
+    from tidewell.streaming import ingest
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    lines = []
+    log = ingest.ProgressLog(lines.append)
+    spark.streams.addListener(log)
+    try:
+        ingest.append_new(ingest.stream_table(spark, f"{tmp_path}/in", "id long"), f"{tmp_path}/out", f"{tmp_path}/cp", "id").awaitTermination()
+        for _ in range(100):
+            if any(x.startswith("ended") for x in lines):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert lines[0].startswith("started") and any(": 5 rows," in x for x in lines) and lines[-1].startswith("ended")

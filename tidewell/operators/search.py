@@ -11,8 +11,9 @@ import json
 import random
 import time
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -132,6 +133,14 @@ def top(df: DataFrame, query: Query, order: list[Column], n: int = 10) -> DataFr
     return hits(df, query).orderBy(*order).limit(n)
 
 
+def indices(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Rows (name, docs) of the Parquet tables below ``root`` whose name matches ``pattern`` (``*`` for any run); counts come from the files' footers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ()
+    counts = [spark.read.parquet(s.getPath().toString()).agg(F.count("*").alias("docs")).select(F.lit(s.getPath().getName().removesuffix(".parquet")).alias("name"), "docs") for s in found]
+    return reduce(DataFrame.unionByName, counts, spark.createDataFrame([], "name string, docs long"))
+
+
 def windows(n: int, low: int, span: int, fraction: float = 0.1, seed: int = 42) -> list[tuple[int, int]]:
     """n random windows (start, end) covering ``fraction`` of a span."""
     rng = random.Random(seed)

@@ -45,19 +45,44 @@ def bucket_percentile(hist: DataFrame, p: float, by: list[str] | None = None) ->
     return reached.groupBy(*by).agg(F.min("bucket").alias("bucket")).select(*by, F.coalesce(bucket_value_ms(F.col("bucket")), F.lit(0.0)).alias("ms"))
 
 
-def percentile_floor(x: Column, p: float) -> Column:
-    """Sorted value at floor((n - 1) p)."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor((F.count(x) - 1) * p) + 1).cast("int"))
+def rank_floor(n: Column, p: float) -> Column:
+    """Zero-based rank floor((n - 1) p)."""
+    return F.floor((n - 1) * p).cast("long")
 
 
-def percentile_index(x: Column, p: float) -> Column:
-    """Sorted value at min(n - 1, int(n p))."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.least(F.count(x) - 1, F.floor(F.count(x) * p)) + 1).cast("int"))
+def rank_index(n: Column, p: float) -> Column:
+    """Zero-based rank min(n - 1, int(n p))."""
+    return F.least(n - 1, F.floor(n * p)).cast("long")
 
 
-def percentile_ceil(x: str, p: float) -> Column:
-    """Sorted value at ceil(n p) - 1."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
+def rank_ceil(n: Column, p: float) -> Column:
+    """Zero-based rank ceil(n p) - 1, 0 at least."""
+    return F.greatest(F.ceil(n * p) - 1, F.lit(0)).cast("long")
+
+
+#: Bins that a group is cut into to find a rank; a sorted run is about one of them.
+BINS = 64
+
+
+def exact_percentiles(df: DataFrame, x: str, by: list[str], ranks: dict[str, tuple]) -> DataFrame:
+    """Rows (by.., one column per entry of ``ranks``): the exact sorted values of ``x`` at ranks given as (rule, p); nulls of ``x`` don't count.
+
+    Approximate quantiles only cut each group into bins, whose exact counts say
+    which bin holds a rank; values are counted map-side, and the running sum is
+    over that bin's distinct values, so neither a large group nor a frequent value
+    meets in one task.
+    """
+    have = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("x"))
+    keyed = have.select(F.struct(*by).alias("g"), "x")
+    edges = keyed.groupBy("g").agg(F.percentile_approx("x", [i / BINS for i in range(1, BINS)], 100 * BINS).alias("edges"))
+    binned = keyed.groupBy("g", "x").agg(F.count("*").alias("c")).join(edges, "g").select("g", "x", "c", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bin"))
+    whole = Window.partitionBy("g")  # as many rows as bins
+    bins = binned.groupBy("g", "bin").agg(F.sum("c").alias("m")).withColumn("n", F.sum("m").over(whole)).withColumn("before", F.sum("m").over(whole.orderBy("bin")) - F.col("m"))
+    wanted = bins.select("g", "bin", "before", "m", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rule(F.col("n"), p).alias("rank")) for name, (rule, p) in ranks.items()))).alias("w"))
+    wanted = wanted.where("w.rank >= before and w.rank < before + m").select("g", "bin", "w.name", (F.col("w.rank") - F.col("before")).alias("rank"))
+    at = Window.partitionBy("g", "name").orderBy("x")
+    found = binned.join(wanted, ["g", "bin"]).withColumn("upto", F.sum("c").over(at)).where("upto > rank")
+    return found.groupBy("g").agg(*(F.min(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks)).select("g.*", *ranks)
 
 
 def class_counters(df: DataFrame, size: Column, ttfb: Column, total: Column) -> DataFrame:

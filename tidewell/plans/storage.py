@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import chunking as C
+from tidewell.functions import times as TM
 from tidewell.operators import search as S
 from tidewell.operators import telemetry as T
 from tidewell.operators.listing import list_page
 from tidewell.operators.versions import complete_check, conditional_puts, expiry_budget, expiry_takes, latest
-from tidewell.sources.tables import table
+from tidewell.sources.objectstore import ObjectStore, StoreError
+from tidewell.sources.scratch import kept, scratch
+from tidewell.sources.tables import TABLES, table
 
 _QUERIES, _SQL = {}, {}
 
@@ -234,8 +237,65 @@ def latency_p95(spark, sf_dir):
   list_sort(list(value))[CAST(ceil(95 * count(*) / 100.0) AS BIGINT)] AS p_ceil, round(avg(CASE WHEN value < 20 THEN 100.0 ELSE 0.0 END), 1) AS below_20 FROM events GROUP BY event_type""")
 def percentiles(spark, sf_dir):
     """TL4-TL6, TL9: the three exact definitions, and the share below a bound."""
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(T.percentile_floor(v, 0.95).alias("p_floor"), T.percentile_index(v, 0.95).alias("p_index"), T.percentile_ceil("value", 0.95).alias("p_ceil"), T.share_below(v, 20).alias("below_20"))
+    e = table(spark, sf_dir, "events")
+    at = T.exact_percentiles(e, "value", ["event_type"], {"p_floor": (T.rank_floor, 0.95), "p_index": (T.rank_index, 0.95), "p_ceil": (T.rank_ceil, 0.95)})
+    below = e.groupBy("event_type").agg(T.share_below(F.col("value"), 20).alias("below_20"))
+    return at.join(below, F.equal_null(at["event_type"], below["event_type"])).select(at["event_type"], "p_floor", "p_index", "p_ceil", "below_20")
+
+
+@_query("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS active_s, round(avg(epoch_us(ts) - epoch_us(prev)) / 1e6, 3) AS mean_gap_s, round(epoch_us(min(ts)) / 1e6, 3) AS first_epoch,
+  lpad(CAST(user_id AS VARCHAR), 12, '0') AS label, printf('%05.1f h', (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600e6) AS span FROM g GROUP BY user_id""")
+def activity_gaps(spark, sf_dir):
+    """SC7, SC8, SC16, AG12: timestamp differences as intervals and their average, epochs as doubles, padded and formatted labels."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    gaps = e.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    per_user = gaps.groupBy("user_id").agg(TM.seconds(F.max("ts") - F.min("ts")).alias("active"), TM.seconds(F.avg("gap")).alias("gap"), TM.epoch(F.min("ts")).alias("first"))
+    return per_user.select(
+        "user_id", F.round("active", 3).alias("active_s"), F.round("gap", 3).alias("mean_gap_s"), F.round("first", 3).alias("first_epoch"),
+        F.lpad(F.col("user_id").cast("string"), 12, "0").alias("label"), F.format_string("%05.1f h", F.col("active") / 3600).alias("span"))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS docs FROM {t}" for t in sorted(t for t in TABLES if "o" in t)))
+def index_counts(spark, sf_dir):
+    """SE12: the tables whose names match a pattern, with their row counts."""
+    return S.indices(spark, sf_dir, "*o*")
+
+
+_KEY = "lang || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0')"
+
+
+@_query(f"""WITH d AS (SELECT {_KEY} AS key, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL), o AS (SELECT key, CASE WHEN doc_id % 3 = 0 THEN reverse(key) ELSE text END AS body FROM d),
+gone AS (SELECT key FROM o WHERE starts_with(key, 'de/') ORDER BY key LIMIT 1000), c AS (SELECT turn, coalesce(text, '') AS text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)),
+m AS (SELECT 'upload' AS key, string_agg(text, '' ORDER BY turn) AS body, sha256(unhex(string_agg(sha256(text), '' ORDER BY turn))) AS etag FROM c)
+SELECT key, CAST(octet_length(encode(body)) AS BIGINT) AS size, sha256(body) AS etag, sha256(body) AS sha FROM o WHERE key NOT IN (SELECT key FROM gone)
+UNION ALL SELECT key, CAST(octet_length(encode(body)) AS BIGINT), etag, sha256(body) FROM m""")
+def store_read_back(spark, sf_dir):
+    """SRC9, SRC10, SRC16, MUT1, MUT4-MUT12, LST2, LST6, API: a scratch store takes all documents, overwrites a third, deletes
+    the first listed page of a prefix (1000 keys are a page), completes an upload, drops its garbage, and is read back whole."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null and lang is not null")
+    key = F.concat_ws("/", "lang", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    d = d.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    with scratch(spark, "store") as root:
+        store = ObjectStore(spark, root)
+        for bucket in ("docs", "empty"):
+            store.create_bucket(bucket)
+        store.put_many("docs", d.select("key", "data"))
+        store.put_many("docs", d.where("doc_id % 3 = 0").select("key", F.reverse("key").cast("binary").alias("data")))
+        page = store.list("docs", "de/")
+        if page.keys:
+            store.delete_many("docs", [m.key for m in page.keys])
+        conv = table(spark, sf_dir, "conversations")
+        first = conv.agg(F.min("conv_id")).first()[0]
+        upload, tags = store.create_upload("docs", "upload"), []
+        for r in conv.where(F.col("conv_id") == first).select("turn", F.coalesce("text", F.lit("")).alias("text")).orderBy("turn").collect():  # one upload's parts
+            tags.append((r.turn + 1, store.upload_part(upload, "docs", "upload", r.turn + 1, r.text.encode())))
+        store.complete_upload(upload, "docs", "upload", tags)
+        store.delete_bucket("empty")
+        store.vacuum()
+        if store.list_buckets() != ["docs"] or store.stranded().count():
+            raise StoreError("the store kept what was deleted")
+        return kept(store.bodies("docs").select("key", "size", "etag", F.sha2("data", 256).alias("sha")))
 
 
 @_query("""SELECT span, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT octet_length(encode(html)) * 400 AS size,

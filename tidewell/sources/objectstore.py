@@ -4,14 +4,17 @@ Layout::
 
     <root>/layout.json              version marker; any other version is refused
     <root>/log/<version>.json       one file a commit, one action a line
-    <root>/batches/<id>/            actions of bulk commits, as Parquet
-    <root>/chunks/folder=<n>/       chunk rows (file_id, no, chunk), 32 folders by file id
+    <root>/batches/batch=<id>/      actions of bulk commits, as Parquet
+    <root>/chunks/folder=<n>/gen=<g>/  chunk rows (file_id, no, chunk), 32 folders by file id, by generation
+    <root>/vacuums/<g>.json         one file a vacuum: for each folder the generation up to which its rows are gone
 
 A commit is the exclusive creation of the next log file: whoever loses the race
 re-reads the state and checks its condition again, so conditional writes have
 one winner. Chunks are written before the commit and belong to no object until
 it; a failed write leaves files that no object names, which ``vacuum`` removes.
-State is the newest action of each key, so readers see a snapshot.
+State is the newest action of each key, so readers see a snapshot. A vacuum writes
+what it keeps as the next generation and switches to it by the exclusive creation
+of its file; a generation without one is invisible, so a crash loses nothing.
 
 Ranged reads resolve metadata, plan chunk numbers on the driver and filter the
 chunk table by folder, file and number: folders are pruned, and file and number
@@ -24,6 +27,7 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -35,10 +39,10 @@ from tidewell.functions import chunking as C
 from tidewell.operators.listing import MAX_KEYS, list_page
 from tidewell.operators.versions import expiry_takes
 
-LAYOUT_VERSION = 3
+LAYOUT_VERSION = 4
 _ACTION = """v long, i long, kind string, op string, bucket string, key string, file_id long, size long, etag string, created_at double,
 parts array<long>, part_ends array<long>, upload_id string, part_no int, batch string"""
-_CHUNKS = "file_id long, no int, chunk binary, folder int"
+_CHUNKS = "file_id long, no int, chunk binary, folder int, gen int"
 
 
 class StoreError(Exception):
@@ -186,9 +190,12 @@ class ObjectStore:
     def actions(self) -> DataFrame:
         """All committed actions, bulk ones included."""
         log = self.spark.read.schema(_ACTION).json(f"{self.root}/log")
-        bulk = [r.batch for r in log.where("kind = 'batch'").select("batch").collect()]
         out = log.where("kind <> 'batch'")
-        return out.unionByName(self.spark.read.schema(_ACTION).parquet(*(f"{self.root}/batches/{b}" for b in bulk))) if bulk else out
+        if not self._fs.exists(self._path("batches")):
+            return out
+        # A batch has the version of the commit that names it; one that none names is left out.
+        named = log.where("kind = 'batch'").select("batch", "v")
+        return out.unionByName(self.spark.read.schema(_ACTION).parquet(f"{self.root}/batches").drop("v").join(named, "batch"))
 
     def _newest(self, kind: str, keys: list[str]) -> DataFrame:
         rows = self.actions().where(F.col("kind") == kind)
@@ -211,7 +218,18 @@ class ObjectStore:
     def chunks(self) -> DataFrame:
         if not self._fs.exists(self._path("chunks")):
             return self.spark.createDataFrame([], _CHUNKS)
-        return self.spark.read.schema(_CHUNKS).parquet(f"{self.root}/chunks")
+        gen, gone = self._generation()
+        rows = self.spark.read.schema(_CHUNKS).parquet(f"{self.root}/chunks").where(F.col("gen") <= gen)
+        if gone:
+            rows = rows.where(F.col("gen") > F.coalesce(F.get(F.array(*(F.lit(gone.get(i, -1)) for i in range(C.FOLDERS))), F.col("folder")), F.lit(-1)))
+        return rows
+
+    def _generation(self) -> tuple[int, dict[int, int]]:
+        """The generation that writes go to, and for each folder the last one that is gone."""
+        if not self._fs.exists(self._path("vacuums")):
+            return 0, {}
+        gen = max((int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(self._path("vacuums")) if s.getPath().getName().endswith(".json")), default=0)
+        return gen, {int(k): v for k, v in json.loads(self._read_text(self._path(f"vacuums/{gen:020d}.json"))).items()} if gen else {}
 
     def _has_bucket(self, bucket: str) -> None:
         if self.buckets().where(F.col("name") == bucket).isEmpty():
@@ -249,8 +267,8 @@ class ObjectStore:
 
     def _write_chunks(self, objects: DataFrame) -> None:
         """Append chunk rows of (file_id, data)."""
-        rows = C.chunk_rows(objects).withColumn("folder", C.folder_of(F.col("file_id")))
-        rows.write.mode("append").partitionBy("folder").parquet(f"{self.root}/chunks")
+        rows = C.chunk_rows(objects).withColumn("folder", C.folder_of(F.col("file_id"))).withColumn("gen", F.lit(self._generation()[0]))
+        rows.write.mode("append").partitionBy("folder", "gen").parquet(f"{self.root}/chunks")
 
     def _write_bytes(self, data: bytes) -> tuple[int, str]:
         file_id = uuid.uuid4().int >> 65
@@ -296,16 +314,21 @@ class ObjectStore:
         Repeated keys: the row with the largest hash wins. ``objects`` must be deterministic.
         """
         self._has_bucket(bucket)
-        batch, base = uuid.uuid4().hex, uuid.uuid4().int >> 65
+        batch, base = f"b{uuid.uuid4().hex}", uuid.uuid4().int >> 65
         rows = objects.select("key", F.col("data"), F.sha2("data", 256).alias("etag"))
         # The id of a file is derived from its key and content, so a retried task writes the same.
-        rows = rows.withColumn("file_id", F.xxhash64(F.lit(base), "key", "etag").bitwiseAND(F.lit((1 << 63) - 1)))
+        rows = rows.withColumn("file_id", F.xxhash64(F.lit(base), "key", "etag").bitwiseAND(F.lit((1 << 63) - 1))).dropDuplicates(["key", "etag"])
         self._write_chunks(rows.select("file_id", "data"))
         put = rows.select("key", "file_id", F.octet_length("data").cast("long").alias("size"), "etag")
-        full = {"v": F.lit(self.version() + 1).cast("long"), "i": F.col("file_id"), "kind": F.lit("object"), "op": F.lit("put"), "bucket": F.lit(bucket), "created_at": F.lit(_now())}
+        full = {"i": F.col("file_id"), "kind": F.lit("object"), "op": F.lit("put"), "bucket": F.lit(bucket), "created_at": F.lit(_now())}
         schema = self.spark.createDataFrame([], _ACTION).schema
-        put.withColumns(full).select(*((F.col(f.name) if f.name in put.columns or f.name in full else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.root}/batches/{batch}")
-        self._commit(lambda: [{"kind": "batch", "batch": batch}])
+        put.withColumns(full).select(*((F.col(f.name) if f.name in put.columns or f.name in full else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("v", "batch"))).write.parquet(f"{self.root}/batches/batch={batch}")
+
+        def make():
+            self._has_bucket(bucket)
+            return [{"kind": "batch", "batch": batch}]
+
+        self._commit(make)
 
     def delete(self, bucket: str, key: str) -> None:
         """A missing key is no error."""
@@ -336,34 +359,67 @@ class ObjectStore:
         return found
 
     def read_pieces(self, meta: Meta, start: int, end: int) -> DataFrame:
-        """Rows (seq, no, piece) of a byte range: chunk rows by number, trimmed."""
-        ids, ends = meta.parts or (meta.file_id,), meta.part_ends or (meta.size,)
-        out = None
-        for seq, (file_id, base, stop) in enumerate(zip(ids, (0, *ends[:-1]), ends)):
-            if stop == base or base > end or stop <= start:
-                continue
-            lo, hi = (max(start, base) - base) // C.CHUNK, (min(end, stop - 1) - base) // C.CHUNK
-            folder = F.lit(file_id).cast("long")
-            rows = self.chunks().where((F.col("folder") == C.folder_of(folder)) & (F.col("file_id") == file_id) & F.col("no").between(lo, hi))
-            piece = C.sliced(F.col("chunk"), F.col("no"), F.lit(base).cast("long"), F.lit(start).cast("long"), F.lit(end).cast("long"))
-            rows = rows.select(F.lit(seq).alias("seq"), "no", piece.alias("piece"))
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        """Rows (seq, no, piece) of a byte range: chunk rows by number, trimmed.
 
-    def get(self, bucket: str, key: str, range_header: str | None = None) -> Body:
+        One scan whatever the number of parts; it meets their table, 10,000 rows at most.
+        """
+        ids, ends = meta.parts or (meta.file_id,), meta.part_ends or (meta.size,)
+        parts = [
+            (seq, file_id, base, (max(start, base) - base) // C.CHUNK, (min(end, stop - 1) - base) // C.CHUNK)
+            for seq, (file_id, base, stop) in enumerate(zip(ids, (0, *ends[:-1]), ends)) if base < stop and base <= end and start < stop]
+        table = self.spark.createDataFrame(parts, "seq int, file_id long, base long, lo int, hi int")
+        files = [p[1] for p in parts]
+        near = F.col("folder").isin(self._folders(files)) & F.col("file_id").isin(files) & F.col("no").between(min((p[3] for p in parts), default=0), max((p[4] for p in parts), default=-1))
+        piece = C.sliced(F.col("chunk"), F.col("no"), F.col("base"), F.lit(start).cast("long"), F.lit(end).cast("long"))
+        return self.chunks().where(near).join(F.broadcast(table), "file_id").where("no between lo and hi").select("seq", "no", piece.alias("piece"))
+
+    def _folders(self, files: list[int]) -> list[int]:
+        """The folders of some files, as ``folder_of`` gives them."""
+        hashed = self._jvm.org.apache.spark.sql.catalyst.expressions.XXH64.hashLong
+        return sorted({hashed(self._jvm.java.lang.Long(f), self._jvm.java.lang.Long(42)) % C.FOLDERS for f in files})
+
+    def _range(self, bucket: str, key: str, range_header: str | None) -> tuple[Meta, int, int]:
+        """Metadata and the inclusive range that is meant; (0, -1) for an empty object."""
         meta = self.head(bucket, key)
         first, last, suffix = C.range_header(range_header)
         if meta.size == 0:
-            return Body(meta, 0, -1, b"")
+            return meta, 0, -1
         start = max(meta.size - suffix, 0) if suffix >= 0 else max(first, 0)
         end = meta.size - 1 if suffix >= 0 or last < 0 else min(last, meta.size - 1)
         if start > end or start >= meta.size:
             raise InvalidRange(range_header)
-        pieces = self.read_pieces(meta, start, end)
-        data = b"".join(bytes(r.piece) for r in pieces.orderBy("seq", "no").toLocalIterator())
-        if len(data) != end - start + 1:
+        return meta, start, end
+
+    def _pieces(self, meta: Meta, start: int, end: int) -> Iterator[bytes]:
+        left = end - start + 1
+        if left:
+            for r in self.read_pieces(meta, start, end).orderBy("seq", "no").toLocalIterator():
+                left -= len(r.piece)
+                yield bytes(r.piece)
+        if left:
             raise StoreError("chunk rows are missing")
-        return Body(meta, start, end, data)
+
+    def stream(self, bucket: str, key: str, range_header: str | None = None) -> Iterator[bytes]:
+        """The body in order, a chunk row at a time; the driver holds one partition of them. Raises at the end if rows were missing."""
+        return self._pieces(*self._range(bucket, key, range_header))
+
+    def get(self, bucket: str, key: str, range_header: str | None = None) -> Body:
+        """The body at once. Where its rows went between lookup and read (an overwrite, then a vacuum), both are done once more."""
+        for again in (True, False):
+            meta, start, end = self._range(bucket, key, range_header)
+            try:
+                return Body(meta, start, end, b"".join(self._pieces(meta, start, end)))
+            except (StoreError, Py4JJavaError):
+                if not again:
+                    raise
+        raise AssertionError
+
+    def bodies(self, bucket: str) -> DataFrame:
+        """Rows (key, size, etag, data) of all objects, put together on the executors; raises where chunk rows are missing."""
+        o = self.objects().where(F.col("bucket") == bucket).select("key", "size", "etag", C.segments(F.col("parts"), F.col("part_ends"), F.col("file_id"), F.col("size")).alias("s"))
+        rows = o.select("key", "size", "etag", F.explode("s").alias("s")).select("key", "size", "etag", "s.file_id", "s.base").join(self.chunks(), "file_id")
+        data = C.reassemble(rows, ["key"], ["base", "no"], "chunk", "size")
+        return o.drop("s").join(data, "key", "left").withColumn("body", F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.coalesce("body", F.raise_error(F.lit("chunk rows are missing")).cast("binary")))).withColumnRenamed("body", "data")
 
     def list(self, bucket: str, prefix: str = "", delimiter: str | None = None, max_keys: int = MAX_KEYS, start_after: str | None = None, token: str | None = None) -> Page:
         self._has_bucket(bucket)
@@ -511,15 +567,25 @@ class ObjectStore:
 
         Run it while nothing writes: rows of a write in progress look stranded.
         """
-        counts = self.stranded().groupBy("folder").agg(F.count("*").alias("n")).collect()  # 32 folders at most
-        for r in counts:
-            kept = self.chunks().where(F.col("folder") == r.folder).join(self._live_files(), self._is_live(), "left_semi").drop("folder")
-            new, old = self._path(f"tmp-{uuid.uuid4().hex}"), self._path(f"chunks/folder={r.folder}")
-            kept.write.parquet(new.toString())
-            self._fs.delete(old, True)
-            self._fs.rename(new, old)
+        gen, gone = self._generation()
+        counts = {r.folder: r.n for r in self.stranded().groupBy("folder").agg(F.count("*").alias("n")).collect()}  # 32 folders at most
+        for folder in range(C.FOLDERS):  # what a vacuum left that crashed before its switch
+            self._fs.delete(self._path(f"chunks/folder={folder}/gen={gen + 1}"), True)
+        if counts:
+            kept = self.chunks().where(F.col("folder").isin(list(counts))).join(self._live_files(), self._is_live(), "left_semi")
+            kept.withColumn("gen", F.lit(gen + 1)).repartition("folder", "file_id").write.mode("append").partitionBy("folder", "gen").parquet(f"{self.root}/chunks")
+            gone = gone | dict.fromkeys(counts, gen)
+            self._fs.mkdirs(self._path("vacuums"))
+            if not self._create(f"vacuums/{gen + 1:020d}.json", json.dumps(gone)):
+                raise StoreError("another vacuum ran")
+        for folder, last in gone.items():
+            path = self._path(f"chunks/folder={folder}")
+            for old in self._fs.listStatus(path) if self._fs.exists(path) else ():
+                name = old.getPath().getName()
+                if name.startswith("gen=") and int(name[4:]) <= last:
+                    self._fs.delete(old.getPath(), True)
         self.spark.catalog.clearCache()
-        return sum(r.n for r in counts)
+        return sum(counts.values())
 
     def stat(self) -> dict[str, float]:
         """Logical and stored bytes, objects, chunk rows and the overhead in percent."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
@@ -41,6 +43,26 @@ def append_new(stream: DataFrame, out: str, checkpoint: str, key: str) -> Stream
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class ProgressLog(StreamingQueryListener):
+    """Telemetry of running streams: a line each batch, and how each query ended. Give it to ``spark.streams.addListener``."""
+
+    def __init__(self, emit: Callable[[str], None] = print):
+        self.emit = emit
+
+    def onQueryStarted(self, event) -> None:
+        self.emit(f"started {event.id}")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.emit(f"batch {p.batchId} of {p.id}: {p.numInputRows} rows, {p.processedRowsPerSecond or 0.0:.1f} a second, {p.durationMs.get('triggerExecution', 0)} ms")
+
+    def onQueryIdle(self, event) -> None:
+        self.emit(f"idle {event.id}")
+
+    def onQueryTerminated(self, event) -> None:
+        self.emit(f"ended {event.id}" + (f": {event.exception}" if event.exception else ""))
+
+
 def visible(spark: SparkSession, out: str) -> int:
     """Rows that readers see."""
     return spark.read.parquet(out).count()
