@@ -238,3 +238,26 @@ def test_pipeline_stages_equal_plain_versions(spark, sf):
     assert got == want and len(set(want)) < len(want)
 
     check_packing(stages[4](spark, docs, sf).collect(), [r[:2] for r in want])
+
+
+def test_arrow_batches_are_bounded(spark):
+    from tidewell.llm import workdir
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for held, want in (("64MB", str(workdir.BATCH_BYTES)), ("1k", "1k"), (str(workdir.BATCH_BYTES), str(workdir.BATCH_BYTES))):
+            spark.conf.set(name, held)
+            workdir.bound_batches(spark)
+            assert spark.conf.get(name) == want
+        spark.conf.set(name, "4k")
+        long = spark.createDataFrame([(i, "word " * (5000 if i % 7 == 0 else 3)) for i in range(40)], "doc_id long, text string")
+        import public_tokenizers
+
+        from tidewell.llm import packing
+
+        small = sorted(packing.token_pieces(long, public_tokenizers.path("word_bpe_49k.json")).collect())
+        spark.conf.set(name, "64MB")
+        assert small == sorted(packing.token_pieces(long, public_tokenizers.path("word_bpe_49k.json")).collect())
+    finally:
+        spark.conf.set(name, before)

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The most bytes of an Arrow batch; a single row may be larger.
+BATCH_BYTES = 2 << 20
 _LOCAL: list[str] = []
 #: Paths by the run that wrote them, None outside of any.
 _WRITTEN: dict[str | None, list[str]] = {}
@@ -57,6 +59,7 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps restart from there."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,12 +77,25 @@ def _at_exit() -> None:
         _delete(*_JVM, [p for own in _WRITTEN.values() for p in own] + _KEPT)
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``most``; a smaller limit stays.
+
+    A JVM keeps the buffers of its largest batches, one for each running task,
+    so with long texts Spark's own limit (64 MB) fills an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
     """Tables written inside belong to the run ``name`` of this thread; what it wrote in an earlier scope is deleted.
 
     So a scope begins when the results of the one before are no longer needed.
     """
+    bound_batches(spark)
     run = f"{name}-{threading.get_ident()}"
     _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _WRITTEN.setdefault(run, []))
     before = _RUN.set(run)
