@@ -33,6 +33,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        _remove(spark, path)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path, deleted at the end."""
@@ -44,8 +49,9 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """The rows, written to a folder of their own (left to whoever cleans ``spark.checkpoint.dir``) and read again."""
+    """The rows, written to a folder of their own, which is deleted at exit, and read again."""
     spark = rows.sparkSession
     path = f"{_root(spark)}/tidewell/kept-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
