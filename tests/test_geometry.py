@@ -73,3 +73,37 @@ def test_joins_equal_brute_force(spark):
     for q in pts:
         assert sorted(round(r.distance, 9) for r in near if r.id == q[0]) == sorted(round(gap(q, c), 9) for c in boxes)[: 3] or \
             sorted(round(r.distance, 9) for r in near if r.id == q[0]) == [round(v, 9) for v in sorted(gap(q, c) for c in boxes)[:3]]
+
+
+def test_nearest_where_boxes_lie_deep(spark):
+    rng = np.random.default_rng(3)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-12, 12, (200, 2)))]
+    boxes = [(i, float(x), float(y), float(w)) for i, (x, y, w) in enumerate(np.c_[rng.uniform(-10, 6, (400, 2)), rng.uniform(2, 4, 400)])]
+    p = spark.createDataFrame(pts, "id long, x double, y double").select("id", G.point(F.col("x"), F.col("y")).alias("p"))
+    b = spark.createDataFrame(boxes, "k long, x double, y double, w double").select("k", G.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")).alias("s"))
+    b = b.unionByName(spark.range(1).select("id", G.ring([(11, 11), (12, 11), (11, 12), (11, 11)]).alias("s")).withColumnRenamed("id", "k"))
+    near = J.nearest_polygons(p, "id", "p", b, "s", 4)
+    assert "Broadcast" not in near._jdf.queryExecution().sparkPlan().toString()  # lists of cells are far larger than the planner's guess
+    side = J.covered(b.select(G.bounds(F.col("s")).alias("__b")).where("__b.x0 < 11"), 0.5, 4).collect()
+    assert side and all(sum(c[1] < r.cx / 2 and r.cx / 2 + 0.5 < c[1] + c[3] and c[2] < r.cy / 2 and r.cy / 2 + 0.5 < c[2] + c[3] for c in boxes) >= 4 for r in side)
+    got = near.collect()
+    to_box = lambda q, c: float(np.hypot(max(c[1] - q[1], 0, q[1] - c[1] - c[3]), max(c[2] - q[2], 0, q[2] - c[2] - c[3])))
+    corner = p.select("id", G.polygon_distance(F.col("p"), G.ring([(11, 11), (12, 11), (11, 12), (11, 11)])).alias("d")).collect()
+    other = {r.id: r.d for r in corner}
+    for q in pts:
+        want = sorted([*(to_box(q, c) for c in boxes), other[q[0]]])[:4]
+        assert [round(r.distance, 9) for r in sorted(got, key=lambda r: r.rank) if r.id == q[0]] == [round(v, 9) for v in want]
+
+
+def test_keys_on_several_trips_match_the_oracle(spark, sf, tmp_path):
+    import duckdb
+    from compare import same_rows
+
+    from tidewell.plans import spatial as S
+
+    con, d = duckdb.connect(), str(tmp_path)
+    con.execute(f"COPY (SELECT e.* FROM '{sf}/events.parquet' e, range(7) r(i) WHERE i <= event_id % 7) TO '{d}/events.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM '{sf}/part.parquet') TO '{d}/part.parquet' (FORMAT parquet)")
+    for name in ("events", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    same_rows(S.spatial_q12(spark, d), con, S.oracle_sql()["spatial_q12"])

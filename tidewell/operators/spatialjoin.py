@@ -4,6 +4,9 @@ A polygon (or the neighbourhood of a point) is listed in every cell that its
 bounds meet, a point in its own cell; rows meet by cell equality, so no
 nested loop is planned, and a predicate decides each candidate. A point has one cell, so
 point joins give each pair once; polygon pairs are kept in one cell only.
+
+The planner guesses the size of a table before its rows are listed in cells, so
+joins with many polygons ask for a merge join: no list of cells is broadcast.
 """
 
 from __future__ import annotations
@@ -74,10 +77,23 @@ def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None
     return once.where(meet).select(*(F.col(f"{n}_{side}").alias(name + side) for n, name in (("k", ""), ("s", "shape_"), ("f", "frame_")) for side in "ab"))
 
 
+def covered(polygons: DataFrame, size: float, k: int) -> DataFrame:
+    """Cells (cx, cy) in which every point has k or more of the boxes ``polygons.__b`` around it.
+
+    A cell strictly between those of a box's two corners lies inside of the box.
+    """
+    low, high = ([_cell(F.col("__b")[c], size) for c in names] for names in (("x0", "y0"), ("x1", "y1")))
+    inner = [F.sequence(a + 1, z - 1) for a, z in zip(low, high)]
+    boxes = polygons.where((low[0] + 2 <= high[0]) & (low[1] + 2 <= high[1]))
+    cells = boxes.select(inner[1].alias("ys"), F.explode(inner[0]).alias("cx")).select("cx", F.explode("ys").alias("cy"))
+    return cells.groupBy("cx", "cy").count().where(F.col("count") >= k).select("cx", "cy")
+
+
 def nearest_polygons(points: DataFrame, key: str, at: str, polygons: DataFrame, shape: str, k: int, size: float | None = None) -> DataFrame:
     """Rows (key, distance, rank) of each point's k nearest polygons; ``key`` is unique.
 
-    Rounds with doubling cells: a point looks at its 3 x 3 cells, and is done
+    Where boxes lie k deep on average, points in cells that k boxes cover wholly are
+    done first, at distance 0. The others go in rounds with doubling cells: a point looks at its 3 x 3 cells, and is done
     when its k-th distance is at most one cell, as nothing nearer can lie
     outside of them. What is left goes on; the last round's cell spans everything.
     A polygon met in several of the cells counts in the lowest of them.
@@ -86,23 +102,34 @@ def nearest_polygons(points: DataFrame, key: str, at: str, polygons: DataFrame,
     low_high = lambda c: (F.min(c), F.max(c))
     px, py = F.col(at)["x"], F.col(at)["y"]
     p = points.agg(*low_high(px), *low_high(py)).first()
-    *q, side, n = polygons.select(b.alias("b")).agg(F.min("b.x0"), F.max("b.x1"), F.min("b.y0"), F.max("b.y1"), F.avg(F.expr("greatest(b.x1 - b.x0, b.y1 - b.y0)")), F.count("b")).first()
+    boxed = polygons.select(F.when(~G.is_box(F.col(shape)), F.col(shape)).alias("__r"), b.alias("__b"))
+    wide, high = F.expr("__b.x1 - __b.x0"), F.expr("__b.y1 - __b.y0")
+    boxed = boxed.persist()
+    *q, side, n, others, total = boxed.agg(F.min("__b.x0"), F.max("__b.x1"), F.min("__b.y0"), F.max("__b.y1"), F.avg(F.greatest(wide, high)), F.count("__b.x0"), F.count("__r"), F.sum(F.when(F.col("__r").isNull(), wide * high))).first()
     if None in (*p, *q):
         return points.select(key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     span = max(max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2]))
+    whole_area = (q[1] - q[0]) * (q[3] - q[2])
+    left, done = points.select(key, at), []
+    if not size and side and (total or 0) >= k * whole_area:
+        cell = max(side / 4, span / 2**20)
+        deep = covered(boxed.where("__r is null"), cell, k).withColumn("__deep", F.lit(True))
+        left = left.withColumn("cx", _cell(px, cell)).withColumn("cy", _cell(py, cell)).join(deep.hint("merge"), ["cx", "cy"], "left").drop("cx", "cy").persist()
+        done.append(left.where("__deep").select(key, F.lit(0.0).alias("distance"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")))
+        left = left.where("__deep is null").drop("__deep")
     # Nine cells that hold about 2 k polygons at even density, and no polygon in very many cells.
-    size = size or max(side / 2, ((q[1] - q[0]) * (q[3] - q[2]) * 2 * k / (9 * n)) ** 0.5, span / 2**20, 1e-9)
-    left, done = spread(points.select(key, at)), []
-    boxed = polygons.select(F.col(shape).alias("__s"), b.alias("__b"), G.is_box(F.col(shape)).alias("__box"))
+    size = size or max(side / 2, (whole_area * 2 * k / (9 * n)) ** 0.5, span / 2**20, 1e-9)
     while True:
         last = size >= 2 * span
         cx, cy = _cell(px, size), _cell(py, size)
         asked = left.select(key, at, (cx - 1).alias("lx"), (cy - 1).alias("ly"), F.explode(neighbours(px, py, size)).alias("c"))
         first = [_cell(F.col("__b")[c], size).alias(f"f{c[0]}") for c in ("x0", "y0")]
-        listed = boxed.select("__s", "__b", "__box", *first, F.explode(cells_of(F.col("__b"), size)).alias("c"))
+        listed = boxed.select("__r", "__b", *first, F.explode(cells_of(F.col("__b"), size)).alias("c"))
         once = (F.col("c.cx") == F.greatest("lx", "fx")) & (F.col("c.cy") == F.greatest("ly", "fy"))
-        gap = F.when(F.col("__box"), G.box_distance(F.col(at), F.col("__b"))).otherwise(G.polygon_distance(F.col(at), F.col("__s")))
-        pairs = asked.join(listed, "c").where(once).select(key, gap.alias("distance"))
+        gap = G.box_distance(F.col(at), F.col("__b"))
+        if others:
+            gap = F.when(F.col("__r").isNull(), gap).otherwise(G.polygon_distance(F.col(at), F.col("__r")))
+        pairs = asked.join(listed.hint("merge"), "c").where(once).select(key, gap.alias("distance"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance"))).where(F.col("rank") <= k)
         whole = Window.partitionBy(key)
         found = ranked.select(key, "distance", "rank", F.max("distance").over(whole).alias("far"), F.count("*").over(whole).alias("n"))
@@ -112,7 +139,7 @@ def nearest_polygons(points: DataFrame, key: str, at: str, polygons: DataFrame,
         found = found.persist()
         good = found.where((F.col("n") == k) & (F.col("far") <= size))
         done.append(good.select(key, "distance", "rank"))
-        before, left = left, left.join(good.where("rank = 1").select(key), key, "left_anti").persist()
+        before, left = left, left.join(good.where("rank = 1").select(key).hint("merge"), key, "left_anti").persist()
         empty = left.isEmpty()
         before.unpersist()
         if empty:
