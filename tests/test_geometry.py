@@ -107,3 +107,12 @@ def test_keys_on_several_trips_match_the_oracle(spark, sf, tmp_path):
     for name in ("events", "part"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
     same_rows(S.spatial_q12(spark, d), con, S.oracle_sql()["spatial_q12"])
+
+
+def test_no_list_of_cells_is_broadcast(spark, sf):
+    from tidewell.plans import spatial as S
+
+    plan = S.spatial_q8(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    # Trips are counted by place before they meet buildings.
+    assert plan.count("HashAggregate") >= 4

@@ -50,18 +50,18 @@ def spread(rows: DataFrame) -> DataFrame:
 def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reach: float = 0.0, strict: bool = True, size: float | None = None, deal: bool = False) -> DataFrame:
     """Pairs of points and polygons: strictly within (``strict``), touching, or at most ``reach`` apart.
 
-    ``deal`` spreads the points of a small input over all cores (for many
-    candidates a point). Bounds stand beside a polygon as plain columns, so that a candidate outside of
-    them is dropped in generated code before the exact test.
+    ``deal`` deals both sides by cell (for many polygons, or many candidates a
+    point). Bounds stand beside a polygon as plain columns, so that a candidate outside of
+    them is dropped before the exact test; the ring is read for other shapes than boxes only.
     """
     size = size or cell_size(polygons, shape, reach)
-    left = (spread(points) if deal else points).withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
-    right = polygons.withColumn("__b", G.bounds(F.col(shape))).withColumn("__box", G.is_box(F.col(shape))).withColumn("__c", F.explode(cells_of(F.col("__b"), size, reach))).select("*", "__c.cx", "__c.cy").drop("__c")
-    p, r, b = F.col(at), F.col(shape), F.col("__b")
+    left = points.withColumn("cx", _cell(F.col(at)["x"], size)).withColumn("cy", _cell(F.col(at)["y"], size))
+    right = polygons.withColumn("__b", G.bounds(F.col(shape))).withColumn("__r", F.when(~G.is_box(F.col(shape)), F.col(shape))).withColumn("__c", F.explode(cells_of(F.col("__b"), size, reach))).select("*", "__c.cx", "__c.cy").drop("__c")
+    p, r, b = F.col(at), F.col("__r"), F.col("__b")
     near = p["x"].between(b["x0"] - reach, b["x1"] + reach) & p["y"].between(b["y0"] - reach, b["y1"] + reach)
     exact = G.polygon_distance(p, r) <= reach if reach else G.within(p, r) if strict else G.intersects(p, r)
     boxed = G.box_distance(p, b) <= reach if reach else G.in_box(p, b, strict)
-    return left.join(right, ["cx", "cy"]).where(near & F.when(F.col("__box"), boxed).otherwise(exact)).drop("cx", "cy", "__b", "__box")
+    return left.join(right.hint("merge") if deal else right, ["cx", "cy"]).where(near & F.when(r.isNull(), boxed).otherwise(exact)).drop("cx", "cy", "__b", "__r")
 
 
 def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None = None) -> DataFrame:
