@@ -116,3 +116,26 @@ def test_no_list_of_cells_is_broadcast(spark, sf):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     # Trips are counted by place before they meet buildings.
     assert plan.count("HashAggregate") >= 4
+
+
+def test_overlaps_hold_the_best_pairs(spark):
+    rng = np.random.default_rng(5)
+    boxes = [(i, float(x), float(y), float(w), float(h)) for i, (x, y, w, h) in enumerate(np.c_[rng.uniform(-10, 10, (700, 2)), rng.uniform(1, 4, (700, 2))])]
+    b = spark.createDataFrame(boxes, "k long, x double, y double, w double, h double").select("k", G.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("s"))
+
+    def iou(c, d):
+        w, h = (min(c[i] + c[i + 2], d[i] + d[i + 2]) - max(c[i], d[i]) for i in (1, 2))
+        return w * h / (c[3] * c[4] + d[3] * d[4] - w * h) if w >= 0 and h >= 0 else None
+
+    every = {(c[0], d[0]): v for c in boxes for d in boxes if c[0] < d[0] and (v := iou(c, d)) is not None}
+    best = sorted(every, key=lambda p: -every[p])
+    found = J.overlaps(b, "k", "s", 20)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.a, r.b): r.iou for r in found.collect()}
+    assert set(best[:20]) <= set(got) and len(got) < len(every) / 10 and all(v == pytest.approx(every[p]) for p, v in got.items())
+    # More pairs than lie that near: all pairs come back.
+    assert {(r.a, r.b) for r in J.overlaps(b, "k", "s", 10**6).collect()} == set(every)
+    # Other shapes meet everything, boxes the near ones only.
+    mixed = b.unionByName(spark.range(1).select(F.lit(1000).cast("long").alias("k"), G.ring([(0, 0), (3, 0), (0, 3), (0, 0)]).alias("s")))
+    rows = J.overlaps(mixed, "k", "s", 20).collect()
+    assert {(r.a, r.b) for r in rows if r.b < 1000} == set(got) and len(rows) == len({(r.a, r.b) for r in rows}) == J.polygon_pairs(mixed, "k", "s").where("b = 1000").count() + len(got)

@@ -64,19 +64,67 @@ def point_join(points: DataFrame, at: str, polygons: DataFrame, shape: str, reac
     return left.join(right.hint("merge") if deal else right, ["cx", "cy"]).where(near & F.when(r.isNull(), boxed).otherwise(exact)).drop("cx", "cy", "__b", "__r")
 
 
-def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None = None) -> DataFrame:
-    """Rows (a, b, shape_a, shape_b, frame_a, frame_b) of intersecting polygons with key a < b."""
+def polygon_pairs(polygons: DataFrame, key: str, shape: str, size: float | None = None, boxes: bool = True) -> DataFrame:
+    """Rows (a, b, shape_a, shape_b, frame_a, frame_b) of intersecting polygons with key a < b; without ``boxes``, no pairs of two boxes."""
     size = size or cell_size(polygons, shape)
     named = spread(polygons.select(F.col(key).alias("__k"), F.col(shape).alias("__s")))
     listed = named.select("*", G.bounds(F.col("__s")).alias("__b"), G.frame(F.col("__s")).alias("__f")).select("*", F.explode(cells_of(F.col("__b"), size)).alias("c"))
     x, y = (listed.select("c", *(F.col(f"__{n}").alias(f"{n}_{side}") for n in "ksbf")) for side in "ab")
-    both = x.join(y, "c").where("k_a < k_b and b_a.x0 <= b_b.x1 and b_b.x0 <= b_a.x1 and b_a.y0 <= b_b.y1 and b_b.y0 <= b_a.y1")
+    both = x.join(y.hint("merge"), "c").where("k_a < k_b and b_a.x0 <= b_b.x1 and b_b.x0 <= b_a.x1 and b_a.y0 <= b_b.y1 and b_b.y0 <= b_a.y1").where("true" if boxes else "f_a is null or f_b is null")
     # Of the cells that both meet, only the one with the low corner of the common bounds counts.
     once = both.where((F.col("c.cx") == _cell(F.greatest(F.col("b_a.x0"), F.col("b_b.x0")), size)) & (F.col("c.cy") == _cell(F.greatest(F.col("b_a.y0"), F.col("b_b.y0")), size)))
     meet = G.polygons_intersect(F.col("s_a"), F.col("s_b"), F.col("f_a"), F.col("f_b"))
     return once.where(meet).select(*(F.col(f"{n}_{side}").alias(name + side) for n, name in (("k", ""), ("s", "shape_"), ("f", "frame_")) for side in "ab"))
 
 
+def overlaps(polygons: DataFrame, key: str, shape: str, best: int) -> DataFrame:
+    """Rows (a, b, area_a, area_b, overlap, iou) of intersecting polygons with key a < b: at least all
+    whose iou, rounded to six decimals, is the ``best``-th highest or more.
+
+    Boxes whose low corners share a small cell come first; ``best`` pairs of them reach some iou t.
+    For boxes, the iou is at most that of their sides, so where it is t or more, two sides differ at
+    either end by at most (1 / t - 1) of the shorter, and only boxes with low corners as near as that
+    need to meet. Pairs with another shape are all returned, and all pairs where t is below a half.
+    """
+    corners = ("x0", "y0", "x1", "y1")
+    boxes = polygons.select(F.col(key).alias("k"), G.frame(F.col(shape)).alias("f")).where("f is not null").select("k", *(F.col(f"f.{c}").alias(c) for c in corners)).persist()
+    n, others = boxes.count(), polygons.where(F.col(shape).isNotNull() & ~G.is_box(F.col(shape))).count()
+    side = lambda i: boxes.select(*(F.col(c).alias(f"{c}_{i}") for c in boxes.columns))
+    area = lambda f: (f["x1"] - f["x0"]) * (f["y1"] - f["y0"])
+    fa, fb = ({c: F.col(f"{c}_{i}") for c in corners} for i in "ab")
+    common = [F.least(fa[f"{c}1"], fb[f"{c}1"]) - F.greatest(fa[f"{c}0"], fb[f"{c}0"]) for c in "xy"]
+    overlap = common[0] * common[1]
+    iou = F.when(F.col("overlap") == 0, 0.0).otherwise(F.col("overlap") / (F.col("area_a") + F.col("area_b") - F.col("overlap")))
+
+    def meet(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+        both = a.join(b.hint("merge"), ["cx", "cy"]).where("k_a < k_b and x0_a <= x1_b and x0_b <= x1_a and y0_a <= y1_b and y0_b <= y1_a").where(overlap >= least * (area(fa) + area(fb) - overlap))
+        return both.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), area(fa).alias("area_a"), area(fb).alias("area_b"), overlap.alias("overlap")).withColumn("iou", iou)
+
+    def cornered(i: str, w: float, h: float) -> DataFrame:
+        return side(i).withColumn("cx", _cell(F.col(f"x0_{i}"), w)).withColumn("cy", _cell(F.col(f"y0_{i}"), h))
+
+    reached = []
+    if n:
+        x0, y0, x1, y1, wide, high = boxes.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.max(F.expr("x1 - x0")), F.max(F.expr("y1 - y0"))).first()
+        near = max(((x1 - x0) * (y1 - y0) * 4 / n) ** 0.5, max(x1 - x0, y1 - y0) / 2**20, 1e-9)  # about four boxes a cell
+        reached = meet(cornered("a", near, near), cornered("b", near, near), 0.0).select(F.round("iou", 6).alias("iou")).orderBy(F.desc("iou")).limit(best).collect()
+    least = reached[-1].iou - 1e-6 if len(reached) == best else 0.0
+    found = None
+    if least >= 0.5:
+        far = 1 / least - 1
+        reach = {"x": F.lit(far) * (fb["x1"] - fb["x0"]) + 1e-9, "y": F.lit(far) * (fb["y1"] - fb["y0"]) + 1e-9}
+        w, h = max(far * wide, 1e-9), max(far * high, 1e-9)
+        cells = [F.sequence(_cell(fb[f"{c}0"] - reach[c], step), _cell(fb[f"{c}0"] + reach[c], step)) for c, step in (("x", w), ("y", h))]
+        listed = side("b").withColumn("ys", cells[1]).withColumn("cx", F.explode(cells[0])).withColumn("cy", F.explode("ys")).drop("ys")
+        found = meet(cornered("a", w, h), listed, least)
+        if not others:
+            return found
+    rest = polygon_pairs(polygons, key, shape, boxes=found is None)
+    measure = lambda i: F.coalesce(area(F.col(f"frame_{i}")), G.area(F.col(f"shape_{i}"))).alias(f"area_{i}")
+    rest = rest.select("a", "b", measure("a"), measure("b"), G.intersection_area(F.col("shape_a"), F.col("shape_b"), F.col("frame_a"), F.col("frame_b")).alias("overlap")).withColumn("iou", iou)
+    return found.unionByName(rest) if found is not None else rest
+
+
 def covered(polygons: DataFrame, size: float, k: int) -> DataFrame:
     """Cells (cx, cy) in which every point has k or more of the boxes ``polygons.__b`` around it.
 
