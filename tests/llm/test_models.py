@@ -261,3 +261,40 @@ def test_arrow_batches_are_bounded(spark):
         assert small == sorted(packing.token_pieces(long, public_tokenizers.path("word_bpe_49k.json")).collect())
     finally:
         spark.conf.set(name, before)
+
+
+def test_collisions_are_counted_as_plainly():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((5000, 24))
+    largest = float(np.sqrt((vectors**2).sum(axis=1)).max())
+    index, queries = ann.SortedProjections(vectors, largest), vectors[:40]
+    centres = (queries * (largest / np.sqrt((queries**2).sum(axis=1)))[:, None]) @ index.a[:-1]
+    at = vectors @ index.a[:-1] + np.outer(np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0)), index.a[-1])
+    widths = np.full(len(queries), index.first_width)
+    bits = index._collide(centres, widths, index.before.shape[2])
+    rank, n, least = at.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable"), len(vectors), int(np.ceil(ann.THRESHOLD * index.m))
+    for q, row in enumerate(bits):
+        # Windows are rounded out to edges, which lie before every (n / PARTS)-th rank.
+        low = [index.edges[p].searchsorted(centres[q, p] - widths[q], "left") * n // ann.PARTS for p in range(index.m)]
+        high = [(index.edges[p].searchsorted(centres[q, p] + widths[q], "right") + 1) * n // ann.PARTS for p in range(index.m)]
+        inside = np.abs(at - centres[q]) <= widths[q]
+        window = (rank >= low) & (rank < high)
+        assert not (inside & ~window).any()
+        found = np.unpackbits(row.view(np.uint8), count=n, bitorder="little")
+        assert (found == (window.sum(axis=1) >= least)).all()
+    wanted = np.full(len(queries), 200)
+    assert all(200 <= len(c) < n / 2 for c in index.candidates(queries, wanted))
+    assert all(len(c) == n for c in index.candidates(queries, np.full(len(queries), n)))
+    # Fewer rows than parts, all of them wanted but one.
+    few = ann.SortedProjections(vectors[:7], largest)
+    assert all(len(c) >= 6 for c in few.candidates(queries, np.full(len(queries), 6)))
+
+
+@pytest.mark.parametrize("count, least", [(1, 1), (2, 2), (5, 3), (13, 8), (100, 64), (128, 109), (3, 9)])
+def test_bit_sets_add_up(count, least):
+    rng = np.random.default_rng(count)
+    sets, counters = rng.integers(0, 2, (count, 192), dtype=np.uint8), ann.Counters()
+    for s in sets:
+        counters.add(np.packbits(s, bitorder="little").view(np.uint64).copy())
+    got = np.unpackbits(counters.at_least(least).view(np.uint8), bitorder="little")
+    assert (got == (sets.sum(axis=0, dtype=int) >= least)).all()

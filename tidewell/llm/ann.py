@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
 A block of vectors keeps one sorted array per random direction (the directions
-come from rotations, so they don't repeat each other). A query takes a
-window around its own projection in each array (query-centred, so no bucket
-edge separates it from a neighbour); widening all windows by virtual rehashing
-reuses the same arrays. A vector that falls into the windows of at least
+come from rotations, so they don't repeat each other), as the bit sets of the rows
+before each of its edges, which cut it into equal parts. A query takes a
+window around its own projection in each array (query-centred and rounded out to edges, so no bucket
+edge separates it from a neighbour), the difference of two bit sets; widening all windows by virtual rehashing
+reuses the same sets, and collisions are counted 64 rows at a time. A vector that falls into the windows of at least
 ``threshold`` of the projections is a candidate, candidates are verified by the exact
 inner product, and windows widen until enough candidates are found or all
 vectors of the block are in.
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERY_BLOCK = 16384, 16384
-#: Queries whose windows are looked up at once.
-BATCH = 128
+#: Queries that are counted at once, and the parts of a sorted array.
+BATCH, PARTS = 256, 64
 #: Projections, the share of them in whose windows a candidate is, the candidates beyond k at which windows stop to widen
 #: (rows, share of the block), the share of an array in the first windows, and the factor by which they widen.
 PROJECTIONS, THRESHOLD, EXTRA, SHARE, START, STEP = 128, 0.85, 100, 0.015, 0.8, 1.04
@@ -44,8 +45,62 @@ def _directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.concatenate(turns, axis=1)[:, :count]
 
 
+class Counters:
+    """Sums of bit sets, place by place, held as one bit set a binary digit; three sets of one digit become a sum and a carry."""
+
+    def __init__(self):
+        self.digits: list[list[np.ndarray]] = []
+        self.free: list[np.ndarray] = []
+
+    def buffer(self, like: np.ndarray) -> np.ndarray:
+        return self.free.pop() if self.free else np.empty_like(like)
+
+    def add(self, bits: np.ndarray, digit: int = 0) -> None:
+        """Adds ``bits``, which are taken over."""
+        while True:
+            if digit == len(self.digits):
+                self.digits.append([])
+            held = self.digits[digit]
+            held.append(bits)
+            if len(held) < 3:
+                return
+            bits = self._carry(held, digit)
+            digit += 1
+
+    def _carry(self, held: list[np.ndarray], digit: int) -> np.ndarray:
+        a, b, *c = held
+        total = np.bitwise_xor(a, b, out=self.buffer(a))
+        np.bitwise_and(a, b, out=a)
+        if c:
+            np.bitwise_and(total, c[0], out=b)
+            np.bitwise_or(a, b, out=a)
+            np.bitwise_xor(total, c[0], out=total)
+        self.free += [b, *c]
+        self.digits[digit] = [total]
+        return a
+
+    def at_least(self, least: int) -> np.ndarray:
+        """The places whose sum is ``least`` or more."""
+        digit = 0
+        while digit < len(self.digits):
+            if len(self.digits[digit]) == 2:
+                self.add(self._carry(self.digits[digit], digit), digit + 1)
+            digit += 1
+        sums = [d[0] for d in self.digits if d]
+        if least >> len(sums):
+            return np.zeros_like(sums[0])
+        more, same = np.zeros_like(sums[0]), np.full_like(sums[0], np.iinfo(np.uint64).max)
+        for digit in reversed(range(len(sums))):
+            if least >> digit & 1:
+                same &= sums[digit]
+            else:
+                more |= same & sums[digit]
+                same &= ~sums[digit]
+        return more | same
+
+
 class SortedProjections:
-    """One block's index."""
+    """One block's index: for each projection the edges of PARTS equal parts of its sorted array, and per edge the bit set of the rows before it."""
 
     def __init__(self, vectors: np.ndarray, largest: float, seed: int = 0, projections: int = PROJECTIONS):
         n, dim = vectors.shape
@@ -53,19 +108,41 @@ class SortedProjections:
         self.a = _directions(dim + 1, projections, seed)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         height = np.sqrt(np.maximum(largest * largest - norms, 0))
-        at = vectors @ self.a[:-1] + np.outer(height, self.a[-1])
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(at, self.order.T, axis=0).T.copy()
+        at = (vectors @ self.a[:-1] + np.outer(height, self.a[-1])).T.copy()
+        ends = np.arange(PARTS + 1) * n // PARTS
+        self.edges = np.empty((projections, PARTS - 1))
+        self.before = np.zeros((projections, PARTS + 1, -(-n // 64) * 8), np.uint8)
+        rank, reach = np.empty(n, np.int32), []
+        for p, values in enumerate(at):
+            order = np.argsort(values, kind="stable")
+            rank[order] = np.arange(n, dtype=np.int32)
+            self.edges[p] = values[order[ends[1:-1]]]
+            self.before[p, :, : -(-n // 8)] = np.packbits(rank < ends[:, None].astype(np.int32), axis=1, bitorder="little")
+            reach.append(values[order[int((n - 1) * (1 + START) / 2)]] - values[order[int((n - 1) * (1 - START) / 2)]])
+        self.before = self.before.view(np.uint64)
         # A start from which few rounds are left: half of what holds START of an array around its middle.
-        reach = self.sorted[:, int((n - 1) * (1 + START) / 2)] - self.sorted[:, int((n - 1) * (1 - START) / 2)]
         self.first_width = max(1e-9, float(np.median(reach)) / 2)
 
+    def _collide(self, centres: np.ndarray, widths: np.ndarray, words: int) -> np.ndarray:
+        """Bit sets, one a query, of the rows of the first ``words`` words in the windows of THRESHOLD of the projections; windows end at edges of parts."""
+        counters, shape = Counters(), np.empty((len(centres), words), np.uint64)
+        low, high = centres - widths[:, None], centres + widths[:, None]
+        for p, (edges, before) in enumerate(zip(self.edges, self.before)):
+            window, left = counters.buffer(shape), counters.buffer(shape)
+            np.take(before[:, :words], edges.searchsorted(high[:, p], "right") + 1, axis=0, out=window, mode="clip")
+            np.take(before[:, :words], edges.searchsorted(low[:, p], "left"), axis=0, out=left, mode="clip")
+            np.bitwise_xor(window, left, out=window)
+            counters.free.append(left)
+            counters.add(window)
+        return counters.at_least(int(np.ceil(THRESHOLD * self.m)))
+
     def candidates(self, queries: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
         """For each query the rows that collide with it in at least THRESHOLD of the projections, ``wanted`` or more of them.
 
-        Window edges are looked up for all queries of a round at once; a query leaves when it has enough.
+        All queries are counted at once; a query leaves when it has enough. Windows widen over
+        an eighth of the rows first, which tells about where to start over all of them.
         """
-        n, least = len(self.vectors), int(np.ceil(THRESHOLD * self.m))
+        n, words = len(self.vectors), self.before.shape[2]
         out: list[np.ndarray] = [np.arange(n)] * len(queries)
         active = np.flatnonzero(wanted < n)
         if not len(active):
@@ -73,28 +150,17 @@ class SortedProjections:
         # The order of inner products doesn't depend on the query's length; at the largest norm distances differ most.
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         centres = (queries * (self.largest / lengths)[:, None]) @ self.a[:-1]
-        edge = lambda at, side: np.stack([s.searchsorted(c, side) for s, c in zip(self.sorted, at.T)], axis=1)
-        rows = lambda spans: np.bincount(np.concatenate(spans), minlength=n)
-        spans = lambda starts, ends: [o[a:b] for o, a, b in zip(self.order, starts.tolist(), ends.tolist()) if a < b]
-        none = [np.zeros(0, np.int64)]
-        width, counts, left, right = self.first_width, {}, None, None
-        while len(active):
-            lo, hi = edge(centres[active] - width, "left"), edge(centres[active] + width, "right")
-            going = []
-            for i, q in enumerate(active.tolist()):
-                if left is None:  # The first windows hold most of an array, so what they leave out is counted.
-                    outside = spans(np.zeros_like(lo[i]), lo[i]) + spans(hi[i], np.full_like(hi[i], n))
-                    counts[q] = self.m - rows(none + outside)
-                else:
-                    counts[q] += rows(none + spans(lo[i], left[i]) + spans(right[i], hi[i]))
-                found = np.flatnonzero(counts[q] >= least)
-                if len(found) >= wanted[q] or (lo[i] == 0).all() and (hi[i] == n).all():
-                    out[q] = found
-                    del counts[q]
-                else:
-                    going.append(i)
-            active, left, right = active[going], lo[going], hi[going]
-            width *= STEP
+        widths = np.full(len(queries), self.first_width)
+        for part in (words // 8, words) if words >= 64 else (words,):
+            share, going = part / words if part < words else 1.0, active
+            while len(going):
+                bits = self._collide(centres[going], widths[going], part)
+                enough = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) >= wanted[going] * share
+                if part == words:
+                    for i in np.flatnonzero(enough).tolist():
+                        out[going[i]] = np.flatnonzero(np.unpackbits(bits[i].view(np.uint8), count=n, bitorder="little"))
+                going = going[~enough]
+                widths[going] *= STEP
         return out
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
