@@ -87,8 +87,9 @@ def overlaps(polygons: DataFrame, key: str, shape: str, best: int) -> DataFrame:
     need to meet. Pairs with another shape are all returned, and all pairs where t is below a half.
     """
     corners = ("x0", "y0", "x1", "y1")
-    boxes = polygons.select(F.col(key).alias("k"), G.frame(F.col(shape)).alias("f")).where("f is not null").select("k", *(F.col(f"f.{c}").alias(c) for c in corners)).persist()
-    n, others = boxes.count(), polygons.where(F.col(shape).isNotNull() & ~G.is_box(F.col(shape))).count()
+    framed = polygons.where(G.bounds(F.col(shape))["x0"].isNotNull()).select(F.col(key).alias("k"), G.frame(F.col(shape)).alias("f")).persist()
+    *most, x0, y0, x1, y1, n, others = framed.agg(F.max(F.expr("f.x1 - f.x0")), F.max(F.expr("f.y1 - f.y0")), F.min("f.x0"), F.min("f.y0"), F.max("f.x1"), F.max("f.y1"), F.count("f"), F.count_if(F.col("f").isNull())).first()
+    boxes = framed.where("f is not null").select("k", *(F.col(f"f.{c}").alias(c) for c in corners))
     side = lambda i: boxes.select(*(F.col(c).alias(f"{c}_{i}") for c in boxes.columns))
     area = lambda f: (f["x1"] - f["x0"]) * (f["y1"] - f["y0"])
     fa, fb = ({c: F.col(f"{c}_{i}") for c in corners} for i in "ab")
@@ -105,7 +106,6 @@ def overlaps(polygons: DataFrame, key: str, shape: str, best: int) -> DataFrame:
 
     reached = []
     if n:
-        x0, y0, x1, y1, wide, high = boxes.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.max(F.expr("x1 - x0")), F.max(F.expr("y1 - y0"))).first()
         near = max(((x1 - x0) * (y1 - y0) * 4 / n) ** 0.5, max(x1 - x0, y1 - y0) / 2**20, 1e-9)  # about four boxes a cell
         reached = meet(cornered("a", near, near), cornered("b", near, near), 0.0).select(F.round("iou", 6).alias("iou")).orderBy(F.desc("iou")).limit(best).collect()
     least = reached[-1].iou - 1e-6 if len(reached) == best else 0.0
@@ -113,7 +113,7 @@ def overlaps(polygons: DataFrame, key: str, shape: str, best: int) -> DataFrame:
     if least >= 0.5:
         far = 1 / least - 1
         reach = {"x": F.lit(far) * (fb["x1"] - fb["x0"]) + 1e-9, "y": F.lit(far) * (fb["y1"] - fb["y0"]) + 1e-9}
-        w, h = max(far * wide, 1e-9), max(far * high, 1e-9)
+        w, h = (max(far * v, 1e-9) for v in most)
         cells = [F.sequence(_cell(fb[f"{c}0"] - reach[c], step), _cell(fb[f"{c}0"] + reach[c], step)) for c, step in (("x", w), ("y", h))]
         listed = side("b").withColumn("ys", cells[1]).withColumn("cx", F.explode(cells[0])).withColumn("cy", F.explode("ys")).drop("ys")
         found = meet(cornered("a", w, h), listed, least)
