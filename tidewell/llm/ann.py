@@ -35,7 +35,7 @@ BLOCK, QUERY_BLOCK = 16384, 16384
 BATCH, PARTS = 256, 64
 #: Projections, the share of them in whose windows a candidate is, the candidates beyond k at which windows stop to widen
 #: (rows, share of the block), the share of an array in the first windows, and the factor by which they widen.
-PROJECTIONS, THRESHOLD, EXTRA, SHARE, START, STEP = 128, 0.85, 100, 0.015, 0.8, 1.04
+PROJECTIONS, THRESHOLD, EXTRA, SHARE, START, STEP = 128, 0.85, 100, 0.025, 0.8, 1.04
 
 
 def _directions(dim: int, count: int, seed: int) -> np.ndarray:
